@@ -68,11 +68,13 @@ def recent_history(queries: DataFrame, points: DataFrame, keys: Sequence[str], q
         late = F.when(F.col(value_at) >= F.col("__visible"), POINT_AFTER).otherwise(POINT_FIRST)
     tagged = tagged.withColumn("__late", late)
 
+    order = ["__when", "__late", value_at, *[c for c in payload if c != value_at]]
+
     def gather(df: DataFrame, parts: list[str]) -> DataFrame:
-        frame = Window.partitionBy(*parts).orderBy("__when", "__late", value_at, *payload).rowsBetween(1 - limit, 0)
+        frame = Window.partitionBy(*parts).orderBy(*order).rowsBetween(1 - limit, 0)
         return df.withColumn(out, F.collect_list(F.struct(value_at, *[p for p in payload if p != value_at])).over(frame))
 
-    packed = rolling(tagged, keys, "__when", limit, gather)
+    packed = rolling(tagged, keys, order, limit, gather)
     both = timeline(packed, queries, keys, F.col("__when"), F.col(query_at), [out], F.col("__late"),
                     F.col("position"))
     done = running(both, keys, ["__t", "__tag", "__tie"], [Running("last", F.col("__point"), "__seen")])

@@ -189,7 +189,7 @@ def running(
 def rolling(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     halo: int,
     build: Callable[[DataFrame, list[str]], DataFrame],
     biggest: int | None = None,
@@ -200,14 +200,15 @@ def rolling(
     A key too large for one task is cut into segments by position; each segment
     is handed the last ``halo`` rows of the one before it, so frames are whole.
     """
+    order = [order] if isinstance(order, str) else list(order)
     if biggest is None:
         biggest = largest_group(df.select(*keys), keys)
     if biggest <= rows_per_task(df):
-        whole = Window.partitionBy(*keys).orderBy(order)
+        whole = Window.partitionBy(*keys).orderBy(*order)
         return build(df.withColumn("position", F.row_number().over(whole).cast("bigint")), list(keys))
     size = max(rows_per_task(df), halo + 1)
     placed = (
-        running(df.withColumn("__t", epoch(F.col(order))), keys, ["__t"],
+        running(df.withColumn("__t", epoch(F.col(order[0]))), keys, ["__t", *order[1:]],
                 [Running("sum", F.lit(1).cast("bigint"), "position")], biggest)
         .drop("__t")
     )

@@ -22,7 +22,7 @@ def focal(spark: SparkSession, d: str) -> DataFrame:
         k.alias("event_id"), F.col("o_custkey").alias("ticker"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "OTHER").otherwise("EARNINGS_RELEASE").alias("event_type"),
         at.alias("cutoff"), quarter_name(at).alias("quarter"),
-        F.when(F.col("o_orderstatus") != "P", price / 1e6 - 0.25).alias("car1"),
+        F.when(F.col("o_orderstatus") != "P", price / 700001.0 - 0.25).alias("car1"),
         F.when(F.col("o_orderpriority") != "5-LOW", (k % 401) / 200.0 - 1.0).alias("earnings_surprise"),
         F.when(k % 11 != 0, (k % 97) / 25.0).alias("reported_eps"),
         F.when(k % 13 != 0, (k % 89) / 25.0).alias("consensus_eps"),
@@ -36,7 +36,7 @@ FOCAL_SQL = """focal AS (
   SELECT o_orderkey AS event_id, o_custkey AS ticker,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'OTHER' ELSE 'EARNINGS_RELEASE' END AS event_type,
     o_orderdate AS cutoff, CAST(year(o_orderdate) AS VARCHAR) || 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS quarter,
-    CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / CAST(1e6 AS DOUBLE) - CAST(0.25 AS DOUBLE) END AS car1,
+    CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / CAST(700001 AS DOUBLE) - CAST(0.25 AS DOUBLE) END AS car1,
     CASE WHEN o_orderpriority <> '5-LOW' THEN (o_orderkey % 401) / CAST(200 AS DOUBLE) - 1 END AS earnings_surprise,
     CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 97) / CAST(25 AS DOUBLE) END AS reported_eps,
     CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey % 89) / CAST(25 AS DOUBLE) END AS consensus_eps,
@@ -53,12 +53,12 @@ LABELLED_SQL = FOCAL_SQL + """, labelled AS (
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
-    """Daily price bars per supplier."""
+    """Daily price bars per supplier (volume-weighted, net of a 7% charge)."""
     li = table(spark, d, "lineitem")
     day = F.col("l_shipdate").cast("timestamp")
     return (
         li.groupBy(F.col("l_suppkey").alias("stock"), day.alias("day"))
-        .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
+        .agg((F.sum("l_extendedprice") / (F.sum("l_quantity") * 1.07)).alias("close"), F.sum("l_quantity").alias("volume"))
         .select("stock", "day", (F.col("day") + F.expr("INTERVAL 21 HOURS")).alias("value_timestamp"),
                 (F.col("day") + F.expr("INTERVAL 1 DAY")).alias("available_at"), "close", "volume")
     )
@@ -67,7 +67,7 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
 BARS_SQL = """bars AS (
   SELECT l_suppkey AS stock, l_shipdate AS day, l_shipdate + INTERVAL 21 HOUR AS value_timestamp,
     l_shipdate + INTERVAL 1 DAY AS available_at,
-    sum(l_extendedprice) / sum(l_quantity) AS close, sum(l_quantity) AS volume
+    sum(l_extendedprice) / (sum(l_quantity) * CAST(1.07 AS DOUBLE)) AS close, sum(l_quantity) AS volume
   FROM lineitem GROUP BY l_suppkey, l_shipdate)"""
 
 

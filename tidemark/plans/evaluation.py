@@ -10,6 +10,7 @@ from tidemark.operators import ranks as rk
 from tidemark.operators.scan import rank_stats, spread_percentile
 from tidemark.plans.bindings import FOCAL_SQL, LABELLED_SQL, focal
 from tidemark.plans.catalog import query, r6
+from tidemark.session import table
 
 
 def labelled(spark, d: str) -> DataFrame:
@@ -106,14 +107,7 @@ g AS (SELECT i AS knot_index, n, CASE WHEN n > 4000
   FROM (SELECT max(n) AS n FROM o) CROSS JOIN range(4000) t(i) WHERE i < n)
 SELECT CAST(knot_index AS BIGINT) AS knot_index, round(o.v, 6) + 0.0 AS knot, g.n AS n_fitted FROM g JOIN o ON o.pos = g.at""")
 def e21(spark, d):
-    return rk.fit_knots(focal(spark, d).select(F.col("consensus_revenue")).limit(0).unionByName(
-        _prices(spark, d), allowMissingColumns=True).drop("consensus_revenue"), "price")
-
-
-def _prices(spark, d):
-    from tidemark.session import table
-
-    return table(spark, d, "orders").select(F.col("o_totalprice").alias("price"))
+    return rk.fit_knots(table(spark, d, "orders"), "o_totalprice")
 
 
 @query("e23_best_and_worst", f"""WITH {LABELLED_SQL}, e AS (SELECT event_id, abs(score - realized) AS err FROM labelled),
