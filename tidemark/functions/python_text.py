@@ -4,6 +4,7 @@ and see only the rows that need them."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -53,13 +54,22 @@ def title_ratio(later: str, earlier: str) -> float:
 
 
 def at_least(later: str, earlier: str, threshold: float) -> bool:
-    """``title_ratio >= threshold`` with the cheap length bound tried first."""
+    """``title_ratio >= threshold``; two cheap upper bounds are tried first."""
     total = len(later) + len(earlier)
     if total and 2.0 * min(len(later), len(earlier)) / total < threshold:
         return False
+    shared = sum((letters(later) & letters(earlier)).values())
+    if total and 2.0 * shared / total < threshold:
+        return False
     return title_ratio(later, earlier) >= threshold
 
 
+@lru_cache(maxsize=100_000)
+def letters(title: str) -> Counter:
+    """Letter counts; no matching can share more than these overlap."""
+    return Counter(title)
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(later: pd.Series, earlier: pd.Series) -> pd.Series:
     """Column form of :func:`title_ratio`."""

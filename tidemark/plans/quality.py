@@ -34,12 +34,20 @@ FLAG_SQL = LABELLED_SQL + """, fl AS (SELECT *, CAST(reported_eps IS NOT NULL AN
   CAST(event_id % 6 = 0 AS INT) AS f_news, CAST(event_id % 3 = 0 AS INT) AS f_reason, CAST(event_id % 2 = 0 AS INT) AS f_hist FROM labelled)"""
 
 
-@query("b11_leakage_guard", "SELECT name, name IN ('car1', 'earnings_surprise') AS forbidden FROM (SELECT unnest(['event_id', 'ticker', 'event_type', 'cutoff', 'quarter', 'car1', 'earnings_surprise', 'reported_eps', 'consensus_eps', 'reported_revenue', 'consensus_revenue', 'score']) AS name)")
+EVENT_COLUMNS = ("event_id", "ticker", "event_type", "cutoff", "quarter", "car1", "earnings_surprise", "reported_eps",
+                 "consensus_eps", "reported_revenue", "consensus_revenue", "score")
+
+
+@query("b11_leakage_guard", f"WITH {FOCAL_SQL} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count({c}) AS known, {str(c in ('car1', 'earnings_surprise')).lower()} AS forbidden FROM focal" for c in EVENT_COLUMNS))
 def b11(spark, d):
-    """The guard reads column names only; the names come from the event table."""
+    """Which columns of the event table a model must never see, and how many
+    values would have leaked."""
     f = focal(spark, d)
     bad = set(au.forbidden_columns(f.columns, fv.FORBIDDEN_TEXT_FEATURES))
-    return spark.createDataFrame([(n, n in bad) for n in f.columns], "name string, forbidden boolean")
+    counted = f.agg(*[F.count(c).alias(c) for c in f.columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("known"), F.lit(c in bad).alias("forbidden")) for c in f.columns])
+    return counted.select(F.explode(rows).alias("r")).select("r.*")
 
 
 @query("b16_evidence_gate", f"WITH {FLAG_SQL} SELECT event_id, f_eps + f_price + f_news > 0 AS has_evidence FROM fl")

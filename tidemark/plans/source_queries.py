@@ -222,12 +222,12 @@ got AS (SELECT man.* FROM man JOIN want USING (quarter, event_type) WHERE coales
 
 
 @query("a11_manifest_selection", f"""WITH {MANIFEST_SQL} SELECT quarter, event_type, events, 'selected' AS state FROM got UNION ALL
-SELECT quarter, event_type, NULL, 'missing' FROM want WHERE NOT EXISTS (SELECT 1 FROM got WHERE got.quarter = want.quarter AND got.event_type = want.event_type)""")
+SELECT quarter, event_type, 0, 'missing' FROM want WHERE NOT EXISTS (SELECT 1 FROM got WHERE got.quarter = want.quarter AND got.event_type = want.event_type)""")
 def a11(spark, d):
     chosen = ar.select_manifest(manifest(spark, d), WANTED_Q, WANTED_T)
     absent = ar.missing_from_manifest(spark, chosen, WANTED_Q, WANTED_T)
     return chosen.select("quarter", "event_type", "events", F.lit("selected").alias("state")).unionByName(
-        absent.withColumns({"events": F.lit(None).cast("bigint"), "state": F.lit("missing")}))
+        absent.withColumns({"events": F.lit(0).cast("bigint"), "state": F.lit("missing")}))
 
 
 @query("a12_live_score_loader", f"""WITH {FOCAL_SQL} SELECT CASE WHEN event_id % 6 = 0 THEN '?' ELSE 'T' || ticker END AS ticker, round(score, 6) + 0.0 AS predicted_percentile,

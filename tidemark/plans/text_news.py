@@ -444,9 +444,9 @@ ent AS (SELECT *, unnest(entities) AS entity FROM art), fol AS (SELECT event_id,
 hit AS (SELECT f.event_id, f.cutoff, e.* EXCLUDE (entity) FROM fol f JOIN ent e ON e.entity = f.entity AND e.published_at BETWEEN f.cutoff - INTERVAL 7 DAY AND f.cutoff AND e.available_at <= f.cutoff)"""
 
 
-def news_hits(spark, d, *columns: str) -> DataFrame:
+def news_hits(spark, d, *columns: str, art: DataFrame | None = None) -> DataFrame:
     """Articles in each event's seven-day window that name its entity."""
-    art = articles(spark, d)
+    art = articles(spark, d) if art is None else art
     if columns:
         art = art.select("article_id", "published_at", "available_at", "entities", *columns)
     tagged = art.withColumn("entity", F.explode("entities"))
@@ -510,8 +510,9 @@ def e12(spark, d):
 
 
 def ranked_news(spark, d, top_n: int = 10) -> DataFrame:
-    hits = news_hits(spark, d, "headline", "summary", "url", "source", "source_id", "sentiment", "material", "vendor_relevance")
-    return nw.rank_news(hits, "event_id", "cutoff", "entity", F.array("entity"), top_n, True, MATERIAL)
+    art = nw.with_article_features(articles(spark, d), MATERIAL)
+    hits = news_hits(spark, d, "headline", "url", "source", "source_id", "vendor_relevance", "materiality", "source_quality", art=art)
+    return nw.rank_news(hits, "event_id", "cutoff", "entity", F.array("entity"), top_n, True)
 
 
 @query("e13_news_ranking")

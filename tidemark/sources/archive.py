@@ -54,11 +54,10 @@ def read_archive(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> Data
     parsed = lines.withColumn("r", F.from_json("value", ARCHIVE_SCHEMA, {"columnNameOfCorruptRecord": "_broken"}))
     bad = parsed.where(F.col("r").isNull() | F.col("r._broken").isNotNull()).select("file").distinct()
     good = parsed.join(bad, "file", "left_anti").select("r.*", "name")
-    asset = F.explode("focal_assets")
     surprise = F.col("metrics.earnings_surprise")
     return (
         good.where(F.coalesce("event_id", F.lit("")) != "")
-        .withColumn("ticker", asset["identifier_value"]).where(F.coalesce("ticker", F.lit("")) != "")
+        .withColumn("asset", F.explode("focal_assets")).withColumn("ticker", F.col("asset.identifier_value")).where(F.coalesce("ticker", F.lit("")) != "")
         .select(
             "event_id", "ticker", F.coalesce("event_type", F.lit("UNKNOWN")).alias("event_type"), "event_datetime",
             facts_of(F.col("disclosure.items")).alias("disclosure"),
