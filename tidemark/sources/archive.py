@@ -9,14 +9,14 @@ from pyspark.sql import types as T
 
 from tidemark.functions import fixed_values as fv
 
-ARCHIVE_SCHEMA = T.StructType.fromDDL("""
+ARCHIVE_SCHEMA = """
   event_id STRING, event_type STRING, event_datetime STRING, quarter STRING,
   focal_assets ARRAY<STRUCT<identifier_type: STRING, identifier_value: STRING>>,
   disclosure STRUCT<items: ARRAY<STRUCT<kind: STRING, content: ARRAY<STRING>>>>,
   event_returns MAP<STRING, STRUCT<car1: DOUBLE, return_status: STRING>>,
   metrics STRUCT<earnings_surprise: STRUCT<surprise: DOUBLE, surprise_status: STRING>>,
   _broken STRING
-""".replace("\n", " "))
+""".replace("\n", " ")
 EVENT_COLUMNS = "event_id STRING, ticker STRING, event_type STRING, event_datetime STRING, disclosure ARRAY<STRING>, car1 DOUBLE, earnings_surprise DOUBLE, quarter STRING"
 
 

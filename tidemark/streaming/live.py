@@ -5,7 +5,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators.models import LinearModel
 from tidemark.sources.archive import path_exists
@@ -14,7 +13,7 @@ from tidemark.sources.sinks import write_once
 REPLAY_SECONDS = 300
 DEADLINE_SECONDS = 300
 
-EVENT = T.StructType.fromDDL(
+EVENT = (
     "id STRING, event_id STRING, event_type STRING, event_datetime TIMESTAMP, sent_at TIMESTAMP, arrived_at TIMESTAMP, "
     "prediction_deadline TIMESTAMP, focal_assets ARRAY<STRUCT<identifier_type: STRING, identifier_value: STRING>>, payload DOUBLE")
 
