@@ -105,13 +105,14 @@ def amounts(text: Column) -> Column:
     pattern = F.lit("(?U)" + fv.AMOUNT)
     tokens = F.arrays_zip(
         F.regexp_extract_all(text, pattern, 1).alias("currency"),
-        F.regexp_extract_all(text, pattern, 2).alias("digits"),
+        F.transform(F.regexp_extract_all(text, pattern, 2),
+                    lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")).alias("number"),
         F.regexp_extract_all(text, pattern, 3).alias("scale"),
     )
     scales = F.create_map(*[F.lit(x) for pair in fv.AMOUNT_SCALES.items() for x in pair])
 
     def number(t: Column) -> Column:
-        return F.replace(t["digits"], F.lit(","), F.lit("")).try_cast("double")
+        return t["number"]
 
     def wanted(t: Column) -> Column:
         bare = (t["currency"] == "") & (t["scale"] == "")
@@ -132,11 +133,17 @@ def _pair(reported: Column, consensus: Column) -> Column:
 def exact_pair(line: Column) -> Column:
     """Stated actual and consensus values of one line, else NULL."""
     sides = F.split(line, unicode_ci(fv.VERSUS), 2)
-    left, right, every = amounts(sides[0]), amounts(F.get(sides, F.lit(1))), amounts(line)
-    split = (F.size(sides) == 2) & (F.size(left) > 0) & (F.size(right) > 0)
-    pair = F.when(split, _pair(F.try_element_at(left, F.lit(-1)), F.try_element_at(right, F.lit(1)))).when(
-        F.size(every) >= 2, _pair(F.try_element_at(every, F.lit(1)), F.try_element_at(every, F.lit(-1))))
-    return F.when(line.rlike(unicode_ci(fv.CONSENSUS)), pair)
+
+    def ends(first: Column, second: Column, size: Column) -> Column:
+        return F.when(size, _pair(first, second))
+
+    # the amount lists are built once each: an absent list gives NULL ends
+    left, right = F.try_element_at(amounts(sides[0]), F.lit(-1)), F.try_element_at(amounts(F.get(sides, F.lit(1))), F.lit(1))
+    split = F.transform(F.array(_pair(left, right)), lambda p: F.when(
+        p["reported"].isNotNull() & p["consensus"].isNotNull(), p))[0]
+    whole = F.transform(F.array(amounts(line)), lambda xs: ends(
+        F.try_element_at(xs, F.lit(1)), F.try_element_at(xs, F.lit(-1)), F.size(xs) >= 2))[0]
+    return F.when(line.rlike(unicode_ci(fv.CONSENSUS)), F.coalesce(split, whole))
 
 
 def relative_pair(line: Column) -> Column:

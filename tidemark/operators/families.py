@@ -304,59 +304,56 @@ def peer_earnings_block(records: Column) -> dict[str, Column]:
 # --------------------------------------------------------------------------
 # disclosure text
 # --------------------------------------------------------------------------
-def fls_block(facts: Column, tones: Column, lexicon: tx.Lexicon = tx.FINANCIAL) -> dict[str, Column]:
-    """The 30 forward-looking features of one disclosure (array of facts).
+def with_fls(df: DataFrame, facts: str, lexicon: tx.Lexicon = tx.FINANCIAL, scorer=None, tones: bool = True) -> DataFrame:
+    """Add the 30 forward-looking features of one disclosure (array of facts).
 
-    ``tones`` is the per-fact direction (-1/0/1).  Everything happens inside the
-    row that already holds the disclosure: no explode, no shuffle.
+    Everything happens inside the row that already holds the disclosure: no
+    explode, no shuffle.  Each fact is classified once, into a column of its own
+    (a shared higher-order expression would be evaluated per output column), and
+    only forward-looking facts visit Python for their direction.
     """
-    kept = F.filter(facts, lambda x: x.isNotNull())
-    flags = F.zip_with(kept, tones, lambda x, t: F.struct(
-        *[c.alias(n) for n, c in tx.statement_flags(x, lexicon).items()], F.coalesce(t, F.lit(0)).alias("tone")))
-    forward = F.filter(flags, lambda s: s["forward"])
+    from tidemark.functions.python_text import direction_score
+
+    kept = F.filter(F.col(facts), lambda x: x.isNotNull())
+    flags = F.transform(kept, lambda x: F.struct(*[c.alias(n) for n, c in tx.statement_flags(x, lexicon).items()], x.alias("text")))
+    guide = tx.guidance_flags(F.concat_ws(" ", F.col(facts)), lexicon)
+    df = df.withColumns({"__forward": F.filter(flags, lambda s: s["forward"]), "__facts": F.size(kept), **guide})
+    if tones:
+        scorer = scorer or direction_score()
+        df = df.withColumn("__tones", scorer(F.transform("__forward", lambda s: s["text"])))
+    else:
+        df = df.withColumn("__tones", F.array().cast("array<int>"))
+    forward = F.col("__forward")
 
     def count(test) -> Column:
         return F.size(F.filter(forward, test)).cast("double")
 
-    total = F.greatest(F.size(kept), F.lit(1))
-    n = F.size(forward).cast("double")
-    earnings, quant = count(lambda s: s["earnings"]), count(lambda s: s["quantitative"])
-    both = count(lambda s: s["earnings"] & s["quantitative"])
-    quant_only = count(lambda s: ~s["earnings"] & s["quantitative"])
-    earnings_only = count(lambda s: s["earnings"] & ~s["quantitative"])
-    positive, negative = count(lambda s: s["tone"] > 0), count(lambda s: s["tone"] < 0)
-    other = n - both
-    tone = clip((positive - negative) / F.greatest(n, F.lit(1.0)))
-    guide = tx.guidance_flags(F.concat_ws(" ", kept), lexicon)
-    direction = tx.guidance_direction(guide["guidance_raised"], guide["guidance_lowered"])
+    df = df.withColumns({
+        "__total": F.greatest(F.col("__facts"), F.lit(1)), "__n": F.size(forward).cast("double"),
+        "__earnings": count(lambda s: s["earnings"]), "__quant": count(lambda s: s["quantitative"]),
+        "__both": count(lambda s: s["earnings"] & s["quantitative"]),
+        "positive_forward_count": F.size(F.filter("__tones", lambda t: t > 0)).cast("double"),
+        "negative_forward_count": F.size(F.filter("__tones", lambda t: t < 0)).cast("double"),
+    })
+    n, total, both = F.col("__n"), F.col("__total"), F.col("__both")
+    earnings, quant, other = F.col("__earnings"), F.col("__quant"), n - both
     counted = {
         "fls": n, "earnings_fls": earnings, "non_earnings_fls": n - earnings, "quantitative_fls": quant,
         "non_quantitative_fls": n - quant, "quant_earnings_fls": both, "other_fls": other,
     }
+    tone = clip((F.col("positive_forward_count") - F.col("negative_forward_count")) / F.greatest(n, F.lit(1.0)))
+    direction = tx.guidance_direction(F.col("guidance_raised"), F.col("guidance_lowered"))
     out = {f"{k}_count": c for k, c in counted.items()} | {f"{k}_ratio": c / total for k, c in counted.items()}
     out |= {
-        "quant_non_earnings_ratio": quant_only / total, "nonquant_earnings_ratio": earnings_only / total,
-        "other_to_quant_earnings_ratio": other / (both + 1.0),
-        "positive_forward_count": positive, "negative_forward_count": negative, "signed_forward_tone": tone,
-        **guide, "guidance_direction": direction,
+        "quant_non_earnings_ratio": (quant - both) / total, "nonquant_earnings_ratio": (earnings - both) / total,
+        "other_to_quant_earnings_ratio": other / (both + 1.0), "signed_forward_tone": tone, "guidance_direction": direction,
         "signed_fls_intensity": n / total * tone, "signed_quant_earnings_intensity": both / total * tone,
         "signed_other_fls_intensity": other / total * tone,
         "guidance_fls_interaction": n / total * direction,
         "guidance_quant_earnings_interaction": both / total * direction,
         "other_minus_quant_earnings": (other - both) / total,
     }
-    return {name: out[name] for name in fv.FLS_FEATURES}
-
-
-def with_fls(df: DataFrame, facts: str, lexicon: tx.Lexicon = tx.FINANCIAL, scorer=None) -> DataFrame:
-    """Add the forward-looking block; only forward-looking facts visit Python."""
-    from tidemark.functions.python_text import direction_score
-
-    scorer = scorer or direction_score()
-    kept = F.filter(F.col(facts), lambda x: x.isNotNull())
-    asked = F.transform(kept, lambda x: F.when(x.rlike(lexicon.forward), x))
-    scored = df.withColumn("__tones", scorer(asked))
-    return scored.withColumns(fls_block(F.col(facts), F.col("__tones"), lexicon)).drop("__tones")
+    return df.withColumns(out).drop("__forward", "__facts", "__tones", "__total", "__n", "__earnings", "__quant", "__both")
 
 
 def lexicon_block(facts: Column, positive=fv.LEXICON_POSITIVE, negative=fv.LEXICON_NEGATIVE,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fv
-from tidemark.operators.scan import average_rank, rank_stats
+from tidemark.operators.scan import average_rank, largest_group, rank_stats
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -25,8 +25,9 @@ def share(condition: Column) -> Column:
 
 def ranked_pair(df: DataFrame, predicted: str, actual: str, within: Sequence[str] = ()) -> DataFrame:
     """Attach the average-tie ranks of both columns (for Spearman)."""
-    df = rank_stats(df, predicted, within, "__p")
-    df = rank_stats(df, actual, within, "__a")
+    biggest = largest_group(df.select(*within), within)
+    df = rank_stats(df, predicted, within, "__p", biggest)
+    df = rank_stats(df, actual, within, "__a", biggest)
     return df.withColumn("rank_predicted", average_rank("__p")).withColumn("rank_actual", average_rank("__a")).drop(
         "__pless", "__pequal", "__pn", "__aless", "__aequal", "__an")
 

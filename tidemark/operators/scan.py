@@ -74,7 +74,7 @@ def rank_stats(
     less, equal, n = f"{prefix}less", f"{prefix}equal", f"{prefix}n"
     known = F.col(value).isNotNull()
     if biggest is None:
-        biggest = largest_group(df.where(known).select(*within, value), within)
+        biggest = largest_group(df.select(*within), within)  # counts NULLs too: an upper bound, read from the keys alone
     if biggest <= rows_per_task(df):
         groups = [F.col(c) for c in within] + [known]
         ordered = Window.partitionBy(*groups).orderBy(value)

@@ -122,9 +122,7 @@ g AS (SELECT doc_id, CAST(CAST(regexp_matches(j, '{RAISED}') AS INT) AS DOUBLE)
 h AS (SELECT *, CASE WHEN gr > 0 AND gl = 0 THEN 1.0 WHEN gl > 0 AND gr = 0 THEN -1.0 ELSE 0.0 END::DOUBLE AS gd FROM a JOIN g USING (doc_id))
 SELECT doc_id, {D09_COLS} FROM h""")
 def d09(spark, d):
-    none = F.transform("facts", lambda x: F.lit(0))
-    block = fam.fls_block(F.col("facts"), none, CORPUS)
-    return facts(spark, d).select("doc_id", *[block[n].alias(n) for n in NO_TONE])
+    return fam.with_fls(facts(spark, d), "facts", CORPUS, tones=False).select("doc_id", *NO_TONE)
 
 
 @query("d09_tone_aggregates")
