@@ -73,12 +73,22 @@ def midrank_share(value: Column, sample: Column) -> Column:
 # --------------------------------------------------------------------------
 # results
 # --------------------------------------------------------------------------
-def eps_block(history: Column) -> dict[str, Column]:
+def prepare_history(df: DataFrame, history: str = "history") -> DataFrame:
+    """Surprise and reaction arrays as columns of their own, so that the many
+    features built on them do not evaluate the records again."""
+    h = F.col(history)
+    return df.withColumns({
+        "__eps": present(h, eps_surprise), "__revenue": present(h, revenue_surprise),
+        "__reactions": present(h, lambda r: r["abnormal_return"]),
+    })
+
+
+def eps_block(history: Column, sample: Column | None = None) -> dict[str, Column]:
     """EPS surprise features of the current result against visible history."""
     reported, consensus = F.col("reported_eps"), F.col("consensus_eps")
     known = reported.isNotNull() & consensus.isNotNull()
     delta, pct = reported - consensus, ratio(reported, consensus, fv.EPS_FLOOR)
-    sample = present(history, eps_surprise)
+    sample = present(history, eps_surprise) if sample is None else sample
 
     def when_known(c: Column) -> Column:
         return F.when(known, c).otherwise(0.0)
@@ -96,13 +106,13 @@ def eps_block(history: Column) -> dict[str, Column]:
     }
 
 
-def revenue_block(history: Column) -> dict[str, Column]:
+def revenue_block(history: Column, sample: Column | None = None) -> dict[str, Column]:
     """Revenue surprise features and the four EPS x revenue combinations."""
     reported, consensus = F.col("reported_revenue"), F.col("consensus_revenue")
     known = reported.isNotNull() & consensus.isNotNull()
     delta, pct = reported - consensus, ratio(reported, consensus, fv.REVENUE_FLOOR)
     eps = F.col("reported_eps") - F.col("consensus_eps")
-    sample = present(history, revenue_surprise)
+    sample = present(history, revenue_surprise) if sample is None else sample
 
     def when_known(c: Column) -> Column:
         return F.when(known, c).otherwise(0.0)
@@ -189,15 +199,19 @@ def similar_reactions(history: Column, distance, k: int = fv.SIMILAR_EVENTS) ->
 
 
 def history_block(history: Column, eps_now: Column, revenue_now: Column, priors: dict[str, Column] | None = None,
-                  strength: float = fv.SHRINKAGE_STRENGTH, k: int = fv.SIMILAR_EVENTS) -> dict[str, Column]:
+                  strength: float = fv.SHRINKAGE_STRENGTH, k: int = fv.SIMILAR_EVENTS, prepared: bool = False) -> dict[str, Column]:
     """Company-history features from the bounded array of visible records.
+    ``prepared`` means the arrays of :func:`prepare_history` are present.
 
     ``eps_now`` / ``revenue_now`` are the current surprises, NULL when unknown.
     ``priors`` maps a reaction group to a prior mean it is shrunk towards.
     """
     priors = priors or {}
-    reactions = present(history, lambda r: r["abnormal_return"])
-    eps, revenue = present(history, eps_surprise), present(history, revenue_surprise)
+    if prepared:
+        reactions, eps, revenue = F.col("__reactions"), F.col("__eps"), F.col("__revenue")
+    else:
+        reactions = present(history, lambda r: r["abnormal_return"])
+        eps, revenue = present(history, eps_surprise), present(history, revenue_surprise)
     n = F.size(reactions)
 
     def rate(test) -> Column:

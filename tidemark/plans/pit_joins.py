@@ -218,9 +218,10 @@ SELECT e.event_id, {', '.join(f'round(coalesce({x}, 0), 6) + 0.0 AS {n}' for x,
     ('avg(hs_r)', 'mean_prior_revenue_surprise'), ('CASE WHEN count(hs_r) >= 2 THEN stddev_pop(hs_r) END', 'std_prior_revenue_surprise')))}
 FROM focal e LEFT JOIN hist h USING (event_id) GROUP BY e.event_id""")
 def d01(spark, d):
-    block = fam.history_block(F.col("history"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    null = F.lit(None).cast("double")
+    block = fam.history_block(F.col("history"), null, null, prepared=True)
     names = fv.HISTORY_FEATURES[:10]
-    return cached_history(spark, d).select("event_id", *[block[n].alias(n) for n in names])
+    return fam.prepare_history(cached_history(spark, d)).select("event_id", *[block[n].alias(n) for n in names])
 
 
 @query("d02_conditional_reactions", f"""WITH {HIST_SQL}, prior AS (SELECT CAST(0.01 AS DOUBLE) AS p)
@@ -252,8 +253,8 @@ SELECT event_id, """ + ", ".join(f"round(CASE WHEN pct IS NULL THEN 0 ELSE {x} E
 
 @query("d03_eps_surprise", D03_SQL)
 def d03(spark, d):
-    block = fam.eps_block(F.col("history"))
-    return cached_history(spark, d).select("event_id", *[block[n].alias(n) for n in fv.EPS_FEATURES])
+    block = fam.eps_block(F.col("history"), F.col("__eps"))
+    return fam.prepare_history(cached_history(spark, d)).select("event_id", *[block[n].alias(n) for n in fv.EPS_FEATURES])
 
 
 D04_SQL = f"""WITH {HIST_SQL}, j AS (SELECT c.*, h.hs_e, h.hs_r FROM cur c LEFT JOIN hist h USING (event_id)),
@@ -273,8 +274,8 @@ SELECT event_id, """ + ", ".join(f"round(CASE WHEN pct IS NULL THEN 0 ELSE {x} E
 
 @query("d04_revenue_surprise", D04_SQL)
 def d04(spark, d):
-    block = fam.revenue_block(F.col("history"))
-    return cached_history(spark, d).select("event_id", *[block[n].alias(n) for n in fv.REVENUE_FEATURES])
+    block = fam.revenue_block(F.col("history"), F.col("__revenue"))
+    return fam.prepare_history(cached_history(spark, d)).select("event_id", *[block[n].alias(n) for n in fv.REVENUE_FEATURES])
 
 
 def _near_sql(name, dist):
