@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranks import top_in_group
 from tidemark.operators.scan import Running, epoch, largest_group, rolling, running
 
 POINT_FIRST, QUERY, POINT_AFTER = 0, 1, 2
@@ -83,13 +82,17 @@ def recent_history(queries: DataFrame, points: DataFrame, keys: Sequence[str], q
         *keys, "__query.*", F.array_sort(F.coalesce(F.col(f"__seen.{out}"), none)).alias(out))
 
 
-def late_revisions(points: DataFrame, keys: Sequence[str], value_at: str, visible_at: str) -> DataFrame:
+def late_revisions(points: DataFrame, keys: Sequence[str], value_at: str, visible_at: str,
+                   biggest: int | None = None) -> DataFrame:
     """Keys whose availability order differs from their value order; for these
     the visible set at a cutoff is not a prefix of the value timeline."""
-    order = Window.partitionBy(*keys).orderBy(value_at, visible_at)
-    back = F.lag(visible_at).over(order) > F.col(visible_at)
-    return points.withColumn("__back", back).groupBy(*keys).agg(
-        F.count(F.when(F.col("__back"), 1)).alias("late_revisions"))
+
+    def mark(df: DataFrame, parts: list[str]) -> DataFrame:
+        order = Window.partitionBy(*parts).orderBy(value_at, visible_at)
+        return df.withColumn("__back", F.lag(visible_at).over(order) > F.col(visible_at))
+
+    marked = rolling(points.select(*keys, value_at, visible_at), keys, [value_at, visible_at], 1, mark, biggest)
+    return marked.groupBy(*keys).agg(F.count(F.when(F.col("__back"), 1)).alias("late_revisions"))
 
 
 def interval_join(queries: DataFrame, records: DataFrame, key: str, query_at: str, record_at: str,
@@ -111,16 +114,26 @@ def interval_join(queries: DataFrame, records: DataFrame, key: str, query_at: st
 def nearest_within(queries: DataFrame, records: DataFrame, key: str, query_id: str, query_at: str, record_at: str,
                    ordinal: str, days: int) -> DataFrame:
     """The record closest in calendar days, within ``days`` either way; equal
-    distances keep payload order."""
-    slot = days + 1
-    q = queries.withColumn("__d", F.datediff(F.col(query_at), F.lit("1970-01-01")))
-    q = q.withColumn("__slot", F.explode(F.sequence(
-        F.floor((F.col("__d") - days) / slot), F.floor((F.col("__d") + days) / slot))))
-    r = records.withColumn("__slot", F.floor(F.datediff(F.col(record_at), F.lit("1970-01-01")) / slot))
-    away = F.abs(F.datediff(F.col(record_at), F.col(query_at)))
-    hit = q.join(r, [key, "__slot"]).withColumn("day_distance", away).where(F.col("day_distance") <= days)
-    best = top_in_group(hit, [query_id], [F.col("day_distance"), F.col(ordinal)], 1, "__place")
-    return best.drop("__place", "__slot", "__d")
+    distances keep payload order.
+
+    The closest record is the last one before or the first one after, so two
+    as-of scans (forwards and on the mirrored axis) find it without pairing.
+    """
+    payload = [c for c in records.columns if c != key]
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01"))
+    at = lambda n: F.timestamp_seconds(n * 86400)
+    r = records.withColumns({"__on": at(number(record_at)), "__mirror": at(-number(record_at)), "__tie": -F.col(ordinal)})
+    q = queries.withColumns({"__at": at(number(query_at)), "__back": at(-number(query_at))})
+    past = asof(q, r, [key], "__at", "__on", payload, "__past", True, "__tie")
+    both = asof(past, r, [key], "__back", "__mirror", payload, "__next", True, "__tie")
+
+    def candidate(side: str) -> Column:
+        away = F.abs(F.datediff(F.col(f"{side}.{record_at}"), F.col(query_at)))
+        return F.when(away <= days, F.struct(away.alias("day_distance"), F.col(f"{side}.{ordinal}").alias("__o"), F.col(side).alias("__r")))
+
+    best = F.array_min(F.array_compact(F.array(candidate("__past"), candidate("__next"))))
+    return both.withColumn("__best", best).where(F.col("__best").isNotNull()).select(
+        *queries.columns, *[F.col(f"__best.__r.{c}").alias(c) for c in payload], F.col("__best.day_distance").alias("day_distance"))
 
 
 def latest_in_lag(queries: DataFrame, records: DataFrame, key: str, query_id: str, query_at: str, record_at: str,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fv
-from tidemark.operators.scan import average_rank, largest_group, rank_stats
+from tidemark.operators.scan import average_rank, largest_group, quantile_from_ranks, rank_stats
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -29,11 +29,12 @@ def ranked_pair(df: DataFrame, predicted: str, actual: str, within: Sequence[str
     df = rank_stats(df, predicted, within, "__p", biggest)
     df = rank_stats(df, actual, within, "__a", biggest)
     return df.withColumn("rank_predicted", average_rank("__p")).withColumn("rank_actual", average_rank("__a")).drop(
-        "__pless", "__pequal", "__pn", "__aless", "__aequal", "__an")
+        "__aless", "__aequal", "__an")
 
 
 def error_aggregates(predicted: str, actual: str) -> list[Column]:
-    """Counts, correlations, errors and spread of one prediction column."""
+    """Counts, correlations, errors and spread of one prediction column over
+    rows prepared by :func:`ranked_pair`."""
     p, y = F.col(predicted), F.col(actual)
     return [
         F.count(F.lit(1)).alias("n"),
@@ -44,8 +45,8 @@ def error_aggregates(predicted: str, actual: str) -> list[Column]:
         F.stddev_pop(p).alias("prediction_std"),
         F.min(p).alias("minimum_prediction"),
         F.max(p).alias("maximum_prediction"),
-        F.percentile(p, F.lit(0.05)).alias("prediction_p05"),
-        F.percentile(p, F.lit(0.95)).alias("prediction_p95"),
+        quantile_from_ranks(predicted, 0.05, "__p").alias("prediction_p05"),
+        quantile_from_ranks(predicted, 0.95, "__p").alias("prediction_p95"),
         share(p.between(*fv.NEAR_HALF_TIGHT)).alias("fraction_between_048_052"),
     ]
 
@@ -58,7 +59,8 @@ def metric_set(df: DataFrame, predicted: str, actual: str, by: Sequence[str] = (
 
 
 def dispersion(predicted: str) -> list[Column]:
-    """Distribution statistics of a score column (exact quantiles)."""
+    """Distribution statistics of a score column over rows that carry its rank
+    statistics (``rank_stats(df, predicted)``); quantiles are exact."""
     p = F.col(predicted)
     cuts = {"p05": 0.05, "p25": 0.25, "median": 0.50, "p75": 0.75, "p95": 0.95}
     return [
@@ -66,7 +68,7 @@ def dispersion(predicted: str) -> list[Column]:
         F.when(F.count(p) >= 2, F.stddev_pop(p)).otherwise(F.lit(0.0)).alias("prediction_std"),
         F.min(p).alias("minimum_prediction"),
         F.max(p).alias("maximum_prediction"),
-        *[F.percentile(p, F.lit(q)).alias(name) for name, q in cuts.items()],
+        *[quantile_from_ranks(predicted, q).alias(name) for name, q in cuts.items()],
         share(p.between(*fv.NEAR_HALF_TIGHT)).alias("fraction_between_048_052"),
         share(p.between(*fv.NEAR_HALF_WIDE)).alias("fraction_between_045_055"),
         F.countDistinct(F.round(p, 4)).alias("unique_predictions_4dp"),

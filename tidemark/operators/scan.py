@@ -59,6 +59,12 @@ def epoch(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
+def axis(df: DataFrame, column: str) -> Column:
+    """A numeric axis for an order column: timestamps in epoch seconds."""
+    kind = df.schema[column].dataType.simpleString()
+    return epoch(F.col(column)) if kind.startswith(("timestamp", "date")) else F.col(column).cast("double")
+
+
 # --------------------------------------------------------------------------
 # rank statistics
 # --------------------------------------------------------------------------
@@ -104,6 +110,21 @@ def rank_stats(
     return base.join(ranked, [*group, value], "left").drop("__all")
 
 
+def quantile_from_ranks(value: str, q: float, prefix: str = "__") -> Column:
+    """Exact linear-interpolation quantile as a plain aggregate over rows that
+    carry rank statistics: the value that covers position ``q (n - 1)``.  Nothing
+    is gathered, unlike an exact percentile buffer."""
+    at = F.lit(float(q)) * (F.col(f"{prefix}n") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    first, last = F.col(f"{prefix}less"), F.col(f"{prefix}less") + F.col(f"{prefix}equal") - 1
+
+    def covering(place: Column) -> Column:
+        return F.max(F.when(place.between(first, last), F.col(value)))
+
+    share = F.max(at - low)
+    return covering(low) * (1 - share) + covering(high) * share
+
+
 def average_rank(prefix: str = "__") -> Column:
     """Zero-based rank in which ties share the mean position."""
     return F.col(f"{prefix}less") + (F.col(f"{prefix}equal") - 1) / 2
@@ -208,7 +229,7 @@ def rolling(
         return build(df.withColumn("position", F.row_number().over(whole).cast("bigint")), list(keys))
     size = max(rows_per_task(df), halo + 1)
     placed = (
-        running(df.withColumn("__t", epoch(F.col(order[0]))), keys, ["__t", *order[1:]],
+        running(df.withColumn("__t", axis(df, order[0])), keys, ["__t", *order[1:]],
                 [Running("sum", F.lit(1).cast("bigint"), "position")], biggest)
         .drop("__t")
     )

@@ -128,7 +128,7 @@ def price_context(events: DataFrame, bars: DataFrame, keys: Sequence[str], event
                   biggest: int | None = None) -> DataFrame:
     """Price features per event: the shared rolling path for orderly keys, the
     per-event path for keys with late revisions."""
-    late = late_revisions(bars, keys, "value_timestamp", "available_at").where("late_revisions > 0").select(*keys)
+    late = late_revisions(bars, keys, "value_timestamp", "available_at", biggest).where("late_revisions > 0").select(*keys)
     if late.isEmpty():
         return features_at(events, price_features(bars, keys, biggest=biggest), keys, cutoff, fv.PRICE_FEATURES)
     on = list(keys)

@@ -9,6 +9,7 @@ from tidemark.functions import fixed_values as fv
 from tidemark.operators import families as fam
 from tidemark.operators import joins as jn
 from tidemark.operators import series as sr
+from tidemark.operators.scan import rolling
 from tidemark.plans.bindings import BARS_SQL, FOCAL_SQL, TRADED_SQL, bars, focal, traded
 from tidemark.plans.catalog import query, r6
 from tidemark.plans.pit_joins import HIST_SQL, _series_sql, cached_history, short_features, stock_bound
@@ -159,13 +160,19 @@ def c17(spark, d):
 # --------------------------------------------------------------------------
 def peer_edges(spark, d) -> DataFrame:
     """Edge list: the six neighbours either side in balance order, per nation."""
-    order = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    near = [F.struct(fn("s_suppkey", i).over(order).alias("k"), fn("s_acctbal", i).over(order).alias("b"))
-            for i in range(1, 7) for fn in (F.lag, F.lead)]
-    e = s.withColumn("near", F.array(*near)).select("s_suppkey", "s_acctbal", F.explode("near").alias("p")).where("p.k IS NOT NULL")
-    return e.select(F.col("s_suppkey").alias("stock"), F.col("p.k").alias("peer_key"),
-                    (1.0 / (1.0 + F.abs(F.col("s_acctbal") - F.col("p.b")) / 1000.0)).alias("score"))
+
+    def neighbours(df: DataFrame, parts: list[str]) -> DataFrame:
+        order = Window.partitionBy(*parts).orderBy("s_acctbal", "s_suppkey")
+        return df.withColumn("near", F.array(*[F.struct(
+            F.lag("s_suppkey", i).over(order).alias("k"), F.lag("s_acctbal", i).over(order).alias("b")) for i in range(1, 7)]))
+
+    near = rolling(s, ["s_nationkey"], ["s_acctbal", "s_suppkey"], 6, neighbours)
+    down = near.select("s_suppkey", "s_acctbal", F.explode("near").alias("p")).where("p.k IS NOT NULL").select(
+        F.col("s_suppkey").alias("stock"), F.col("p.k").alias("peer_key"),
+        (1.0 / (1.0 + F.abs(F.col("s_acctbal") - F.col("p.b")) / 1000.0)).alias("score"))
+    up = down.select(F.col("peer_key").alias("stock"), F.col("stock").alias("peer_key"), "score")
+    return down.unionByName(up)
 
 
 PEER_SQL = """o AS (SELECT s_suppkey, s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS i FROM supplier),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fv
 from tidemark.operators import metrics as m
 from tidemark.operators import ranks as rk
-from tidemark.operators.scan import rank_stats, spread_percentile
+from tidemark.operators.scan import Running, rank_stats, running
 from tidemark.plans.bindings import FOCAL_SQL, LABELLED_SQL, focal
 from tidemark.plans.catalog import query, r6
 from tidemark.session import table
@@ -215,7 +215,7 @@ DISPERSION_SQL = """count(score) AS n, round(stddev_pop(score), 6) + 0.0 AS pred
 @query("d13_dispersion_report", f"""WITH {FOCAL_SQL}, a AS (SELECT {DISPERSION_SQL} FROM focal)
 SELECT *, prediction_std < 0.01 OR fraction_between_048_052 > 0.90 AS collapsed FROM a""")
 def d13(spark, d):
-    return focal(spark, d).agg(*m.dispersion("score")).withColumn("collapsed", m.collapsed())
+    return rank_stats(focal(spark, d), "score").agg(*m.dispersion("score")).withColumn("collapsed", m.collapsed())
 
 
 @query("d15_collapse_audit", f"""WITH {FOCAL_SQL}, z AS (
@@ -329,13 +329,13 @@ def k11(spark, d):
     scored = rank_stats(labelled(spark, d).select("event_id", "score", "realized"), "score")
     share = (F.col("__less") + F.col("__equal") / 2) / F.col("__n")
     cal = scored.withColumn("cal", F.greatest(F.lit(0.01), F.least(F.lit(0.99), share))).drop("__less", "__equal", "__n")
-    both = m.ranked_pair(m.ranked_pair(cal, "score", "realized").withColumnRenamed("rank_predicted", "rank_raw").drop(
-        "rank_actual"), "cal", "realized")
+    raw_ranked = m.ranked_pair(cal, "score", "realized").withColumnRenamed("rank_predicted", "rank_raw")
+    both = m.ranked_pair(raw_ranked.drop("rank_actual", "__pless", "__pequal", "__pn"), "cal", "realized")
     a = F.col("rank_actual")
     raw, done = m.safe_corr(F.col("rank_raw"), a), m.safe_corr(F.col("rank_predicted"), a)
     steps = cal.groupBy("score").agg(F.min("cal").alias("lo"), F.max("cal").alias("hi"))
-    ups = Window.orderBy("score")  # one row per distinct score of the probe grid
-    mono = steps.withColumn("prev", F.lag("hi").over(ups)).agg(
-        F.bool_and(F.coalesce(F.col("lo") >= F.col("prev") - 1e-12, F.lit(True))).alias("monotonic"))
+    # non-decreasing exactly when each step reaches the running maximum
+    climbed = running(steps.withColumn("all", F.lit(0)), ["all"], ["score"], [Running("max", F.col("hi"), "upto")])
+    mono = climbed.agg(F.bool_and((F.col("lo") >= F.col("upto") - 1e-12) & (F.col("lo") == F.col("hi"))).alias("monotonic"))
     return both.agg(raw.alias("raw_spearman"), done.alias("calibrated_spearman"),
                     (F.abs(raw - done) < 1e-4).alias("preserves_ranking")).crossJoin(mono)

@@ -15,6 +15,7 @@ from tidemark.operators import metrics as m
 from tidemark.operators import models as md
 from tidemark.operators import ranks as rk
 from tidemark.operators import reasoning as rs
+from tidemark.operators.scan import quantile_from_ranks, rank_stats
 from tidemark.plans.bindings import FOCAL_SQL, focal
 from tidemark.plans.catalog import query, r6
 from tidemark.plans.evaluation import LABELLED_SQL, ROLES, SUR_SQL, labelled
@@ -321,7 +322,7 @@ def d14(spark, d):
 SELECT count(*) AS n, round(avg(abs(raw - med) / sd), 6) + 0.0 AS mean_signal_z, round(avg(least(1.0, 2 * abs(greatest(0.05, least(0.95, 0.5 + 3.42554 * (raw - 0.5))) - 0.5))), 6) + 0.0 AS mean_extremeness FROM s, q""")
 def k17(spark, d):
     s = parts(spark, d).select(FIXED.raw().alias("raw"))
-    q = s.agg(F.percentile("raw", F.lit(0.5)).alias("med"), F.stddev_pop("raw").alias("sd"))
+    q = rank_stats(s, "raw").agg(quantile_from_ranks("raw", 0.5).alias("med"), F.stddev_pop("raw").alias("sd"))
     z = F.when(F.col("sd") <= fv.NEGLIGIBLE, 0.0).otherwise(F.abs(F.col("raw") - F.col("med")) / F.col("sd"))
     submitted = rk.affine(F.col("raw"), **fv.AFFINE_CALIBRATION)
     return s.crossJoin(F.broadcast(q)).agg(  # one-row side

@@ -128,8 +128,7 @@ def d21(spark, d):
 
 
 def stock_demand(spark, d) -> DataFrame:
-    return traded(spark, d).groupBy("stock").agg(F.count(F.lit(1)).alias("row_count"), F.min("cutoff").alias("first_cutoff"),
-                                                 F.percentile(F.unix_timestamp("cutoff"), F.lit(0.5)).alias("mid"))
+    return traded(spark, d).groupBy("stock").agg(F.count(F.lit(1)).alias("row_count"), F.min("cutoff").alias("first_cutoff"))
 
 
 def coverage_status(demand: DataFrame, series: DataFrame, key: str, needed: int) -> DataFrame:

@@ -77,12 +77,20 @@ def scoring_batch(model: LinearModel, families: dict, sink: str, receipts_sink:
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # several actions below; lost blocks are rebuilt from the source offsets
+        try:
+            store(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def store(batch: DataFrame, batch_id: int) -> None:
         rows, receipts = enrich(per_asset(batch), families)
         scored = rows.withColumn("prediction", F.coalesce("neutral", model.score())).withColumn(
             "timing", lateness(F.col("arrived_at"), F.col("prediction_deadline")))
         record = scored.select(F.col("event_id").alias("event_key"), F.col("ticker").alias("ticker_key"), "event_type", "prediction",
-                               "timing", "arrived_at", *[c for _, d in families.values() for c in d])
-        write_once(record, sink)
+                               "timing", "arrived_at", F.to_date("event_datetime").alias("event_day"),
+                               *[c for _, d in families.values() for c in d])
+        write_once(record, sink, partition="event_day")
         if receipts_sink:
             spark = batch.sparkSession
             noted = spark.createDataFrame([(int(batch_id), n, s) for n, s in receipts], "batch_id bigint, family string, status string")
