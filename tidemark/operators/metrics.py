@@ -23,9 +23,10 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def ranked_pair(df: DataFrame, predicted: str, actual: str, within: Sequence[str] = ()) -> DataFrame:
+def ranked_pair(df: DataFrame, predicted: str, actual: str, within: Sequence[str] = (), biggest: int | None = None) -> DataFrame:
     """Attach the average-tie ranks of both columns (for Spearman)."""
-    biggest = largest_group(df.select(*within), within)
+    if biggest is None:
+        biggest = largest_group(df.select(*within), within)
     df = rank_stats(df, predicted, within, "__p", biggest)
     df = rank_stats(df, actual, within, "__a", biggest)
     return df.withColumn("rank_predicted", average_rank("__p")).withColumn("rank_actual", average_rank("__a")).drop(
@@ -51,9 +52,10 @@ def error_aggregates(predicted: str, actual: str) -> list[Column]:
     ]
 
 
-def metric_set(df: DataFrame, predicted: str, actual: str, by: Sequence[str] = ()) -> DataFrame:
-    """The full metric row, overall or per group; predictions are ranked once."""
-    ranked = ranked_pair(df, predicted, actual, by)
+def metric_set(df: DataFrame, predicted: str, actual: str, by: Sequence[str] = (), biggest: int | None = None) -> DataFrame:
+    """The full metric row, overall or per group; predictions are ranked once.
+    ``biggest`` spares the group count when the largest group is known."""
+    ranked = ranked_pair(df, predicted, actual, by, biggest)
     aggs = error_aggregates(predicted, actual)
     return ranked.groupBy(*by).agg(*aggs) if by else ranked.agg(*aggs)
 
