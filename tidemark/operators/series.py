@@ -29,9 +29,10 @@ def trailing_return(close: str, sessions: int, parts: Sequence[str], order: str)
 
 
 def volatility(step: str, sessions: int, parts: Sequence[str], order: str) -> Column:
-    """Annualised population deviation of the last ``sessions`` daily returns."""
-    w = frame(parts, order, sessions)
-    return F.when(F.count(step).over(w) >= 2, F.stddev_pop(step).over(w) * F.sqrt(F.lit(fv.TRADING_DAYS))).otherwise(0.0)
+    """Annualised population deviation of the last ``sessions`` daily returns.
+    Two returns exist from the third session (``position``) on."""
+    spread = F.stddev_pop(step).over(frame(parts, order, sessions))
+    return F.when(F.col("position") >= 3, spread * F.sqrt(F.lit(fv.TRADING_DAYS))).otherwise(0.0)
 
 
 def distance(close: str, sessions: int, high: bool, parts: Sequence[str], order: str) -> Column:
@@ -48,8 +49,10 @@ def volume_zscore(volume: str, parts: Sequence[str], order: str) -> Column:
     return F.when((F.count(volume).over(w) >= 10) & (sd > fv.NEGLIGIBLE), z).otherwise(0.0)
 
 
-def with_drawdown(df: DataFrame, close: str, sessions: int, parts: Sequence[str], order: str, out: str) -> DataFrame:
-    """Worst fall from a running peak inside the last ``sessions`` rows.
+def with_drawdown(df: DataFrame, close: str, sessions: int, parts: Sequence[str], order: str, out: str,
+                  from_high: str | None = None, from_low: str | None = None) -> DataFrame:
+    """Worst fall from a running peak inside the last ``sessions`` rows, and
+    optionally the distance of the close from the window's high and low.
 
     The window of any row is the tail of one block plus the head of the next,
     where blocks hold ``sessions`` consecutive positions.  Heads and tails are
@@ -76,7 +79,15 @@ def with_drawdown(df: DataFrame, close: str, sessions: int, parts: Sequence[str]
     # a window not yet full starts at position 1, i.e. in block 0
     across = F.least(F.col("__head_fall"), start_fall, F.col("__head_low") / start_peak - 1.0)
     fall = F.when(aligned | start_peak.isNull(), F.col("__head_fall")).otherwise(across)
-    return df.withColumn(out, F.least(F.lit(0.0), fall)).drop(
+    added = {out: F.least(F.lit(0.0), fall)}
+    alone = aligned | start_peak.isNull()
+    if from_high:
+        high = F.when(alone, F.col("__head_peak")).otherwise(F.greatest("__head_peak", start_peak))
+        added[from_high] = x / high - 1.0
+    if from_low:
+        low = F.when(alone, F.col("__head_low")).otherwise(F.least(F.col("__head_low"), F.lag("__tail_low", sessions - 1).over(whole)))
+        added[from_low] = x / low - 1.0
+    return df.withColumns(added).drop(
         "__block", "__head_peak", "__head_low", "__tail_peak", "__tail_low", "__head_fall", "__tail_fall")
 
 
@@ -94,14 +105,12 @@ def price_features(bars: DataFrame, keys: Sequence[str], order: str = "value_tim
             "realized_volatility_60d": volatility("__step", 60, parts, order),
             "realized_volatility_252d": volatility("__step", 252, parts, order),
             "distance_from_20d_high": distance(close, 20, True, parts, order),
-            "distance_from_52w_high": distance(close, 252, True, parts, order),
             "distance_from_20d_low": distance(close, 20, False, parts, order),
-            "distance_from_52w_low": distance(close, 252, False, parts, order),
             "volume_zscore": volume_zscore(volume, parts, order),
             "has_5y_price_history": (F.col("position") >= fv.FIVE_YEAR_SESSIONS).cast("double"),
         })
         df = with_drawdown(df, close, 60, parts, order, "max_drawdown_60d")
-        return with_drawdown(df, close, 252, parts, order, "max_drawdown_252d")
+        return with_drawdown(df, close, 252, parts, order, "max_drawdown_252d", "distance_from_52w_high", "distance_from_52w_low")
 
     positive = bars.where(F.col(close) > 0)
     return rolling(positive, keys, order, halo, build, biggest).drop("__step")

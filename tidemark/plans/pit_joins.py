@@ -386,10 +386,14 @@ FROM feat WINDOW w20 AS (PARTITION BY stock ORDER BY value_timestamp ROWS 19 PRE
 def e07(spark, d):
     from tidemark.operators.scan import rolling
 
-    names = {"distance_from_20d_high": (20, True), "distance_from_52w_high": (252, True),
-             "distance_from_20d_low": (20, False), "distance_from_52w_low": (252, False)}
-    out = rolling(bars(spark, d).where("close > 0"), ["stock"], "value_timestamp", 252, lambda df, parts: df.withColumns(
-        {n: sr.distance("close", k, h, parts, "value_timestamp") for n, (k, h) in names.items()}), stock_bound(spark, d))
+    names = ["distance_from_20d_high", "distance_from_52w_high", "distance_from_20d_low", "distance_from_52w_low"]
+
+    def build(df, parts):
+        short = df.withColumns({"distance_from_20d_high": sr.distance("close", 20, True, parts, "value_timestamp"),
+                                "distance_from_20d_low": sr.distance("close", 20, False, parts, "value_timestamp")})
+        return sr.with_drawdown(short, "close", 252, parts, "value_timestamp", "fall", names[1], names[3])
+
+    out = rolling(bars(spark, d).where("close > 0"), ["stock"], "value_timestamp", 252, build, stock_bound(spark, d))
     return out.select("stock", F.date_format("day", "yyyy-MM-dd").alias("day"), *names)
 
 
