@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fv
 from tidemark.operators.metrics import share
+from tidemark.session import with_one_row
 
 
 def forbidden_columns(names: Sequence[str], forbidden=fv.FORBIDDEN_FEATURES) -> list[str]:
@@ -41,7 +42,7 @@ def row_problems(rows: DataFrame, names: Sequence[str], keys: Sequence[str] = ("
         F.count(F.when(target.isNull() | ~target.between(0.0, 1.0) | F.isnan(target), 1)).alias("target_out_of_range"),
         F.count(F.when(F.col("leakage_violations") != 0, 1)).alias("leakage"),
         F.count(F.when(~finite(names), 1)).alias("non_finite"))
-    return dup.crossJoin(other)  # one row each
+    return with_one_row(dup, other)
 
 
 def require_valid_rows(rows: DataFrame, names: Sequence[str]) -> None:

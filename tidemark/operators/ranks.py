@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fv
+from tidemark.session import with_one_row
 from tidemark.operators.scan import (
     Running, average_rank, bucket_of, largest_group, rank_stats, rows_per_task, running, spread_percentile,
 )
@@ -58,7 +59,7 @@ def fit_knots(scores: DataFrame, score: str, max_knots: int = fv.CALIBRATION_KNO
     values = values.withColumn("__all", F.lit(0)).withColumn("__t", F.col("knot").cast("double"))
     placed = running(values, ["__all"], ["__t"], [Running("sum", F.col("__times"), "__upto")])
     total = scores.where(F.col(score).isNotNull()).agg(F.count(F.lit(1)).alias("n_fitted"))
-    sized = placed.crossJoin(F.broadcast(total))  # one-row side
+    sized = with_one_row(placed, total)
     size = F.least(F.col("n_fitted"), F.lit(max_knots))
     step = (F.col("n_fitted") - 1) / F.greatest(size - 1, F.lit(1))
     first = F.col("__upto") - F.col("__times")
@@ -113,7 +114,7 @@ def calibrate_by_scan(df: DataFrame, score: str, knots: DataFrame, out: str,
     total = knots.agg(F.count(F.lit(1)).alias("__total"))
     low, high = bounds
     share = (F.col("__upto") - F.coalesce(F.col("__k"), F.lit(0)) / 2) / F.col("__total")
-    lookup = scanned.where("__asked").crossJoin(F.broadcast(total)).select(
+    lookup = with_one_row(scanned.where("__asked"), total).select(
         "__v", F.greatest(F.lit(low), F.least(F.lit(high), share)).alias(out))
     return df.withColumn("__v", F.col(score).cast("double")).join(lookup, "__v", "left").drop("__v")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.joins import asof
 from tidemark.operators.models import LinearModel
 from tidemark.plans.catalog import query
-from tidemark.session import scratch_path, table
+from tidemark.session import scratch_path, table, with_one_row
 from tidemark.streaming import live
 
 MODEL = LinearModel("live", {}, ("payload", "prior_value"), (50.0, 50.0), (31.0, 31.0), (0.07, -0.03), 0.5)
@@ -127,7 +127,7 @@ def s07(spark, d):
     sink, receipts = run_live(spark, d, {"history": prior_join(spark, d), "vendor": broken_join()})
     done = spark.read.parquet(sink).agg(F.count(F.lit(1)).alias("n"))
     noted = spark.read.parquet(receipts).select("family", F.split_part("status", F.lit(":"), F.lit(1)).alias("status")).distinct()
-    return noted.crossJoin(F.broadcast(done)).where("n > 0").drop("n")  # one-row side
+    return with_one_row(noted, done).where("n > 0").drop("n")
 
 
 @query("s08_write_once_sink", f"""WITH {ASSET_SQL} SELECT count(*) AS rows, count(DISTINCT CAST(event_id AS VARCHAR) || '|' || asset) AS keys FROM ass""")

@@ -20,7 +20,7 @@ from tidemark.plans.bindings import FOCAL_SQL, focal
 from tidemark.plans.catalog import query, r6
 from tidemark.plans.evaluation import LABELLED_SQL, ROLES, SUR_SQL, labelled
 from tidemark.plans.training import FULL_ABLATIONS, LITE_ABLATIONS, LIVE_SETS, Sweep, run_sweep
-from tidemark.session import scratch_path, ship_package, table
+from tidemark.session import scratch_path, ship_package, table, with_one_row
 from tidemark.sources import sinks as sk
 
 PARTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -325,7 +325,7 @@ def k17(spark, d):
     q = rank_stats(s, "raw").agg(quantile_from_ranks("raw", 0.5).alias("med"), F.stddev_pop("raw").alias("sd"))
     z = F.when(F.col("sd") <= fv.NEGLIGIBLE, 0.0).otherwise(F.abs(F.col("raw") - F.col("med")) / F.col("sd"))
     submitted = rk.affine(F.col("raw"), **fv.AFFINE_CALIBRATION)
-    return s.crossJoin(F.broadcast(q)).agg(  # one-row side
+    return with_one_row(s, q).agg(
         F.count(F.lit(1)).alias("n"), F.avg(z).alias("mean_signal_z"),
         F.avg(F.least(F.lit(1.0), 2.0 * F.abs(submitted - 0.5))).alias("mean_extremeness"))
 

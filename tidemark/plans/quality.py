@@ -15,7 +15,7 @@ from tidemark.plans.catalog import query, r6
 from tidemark.plans.evaluation import LABELLED_SQL, labelled
 from tidemark.plans.text_news import LOG_SQL, news_hits, provider_log
 from tidemark.plans.text_news import NEWS_SQL
-from tidemark.session import table
+from tidemark.session import table, with_one_row
 
 FLAGS = {"eps": "has_eps_surprise", "price": "has_5y_price_history", "company_news": "has_company_news", "reasoning": "has_reasoning",
          "history": "has_company_earnings_history"}
@@ -211,4 +211,4 @@ def d31(spark, d):
                     lambda df, parts: df.withColumn("back", F.col("ts") < F.lag("ts").over(Window.partitionBy(*parts).orderBy("o"))))
     back = steps.agg(F.count(F.when(F.col("back"), 1)).alias("backward_steps"))
     status = f.agg(F.count(F.when(F.col("earnings_surprise").isNull() & F.col("car1").isNotNull(), 1)).alias("status_without_value"))
-    return ids.crossJoin(times).crossJoin(back).crossJoin(status)  # one row each
+    return with_one_row(with_one_row(with_one_row(ids, times), back), status)

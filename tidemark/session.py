@@ -7,6 +7,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -53,6 +54,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def with_one_row(df: DataFrame, single: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame as literals (no join of any kind)."""
+    row = single.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in single.schema.fields})
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (like ``--py-files``)."""
     context = spark.sparkContext
