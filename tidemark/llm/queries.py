@@ -32,7 +32,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_substring_dedup", r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 windows AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS s, w FROM words WHERE len(w) >= 13),
 keyed AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS seq FROM windows),
 late AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY seq) AS first FROM keyed) WHERE doc_id > first),
