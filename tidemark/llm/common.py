@@ -61,3 +61,14 @@ def lower_ascii(text: Column) -> Column:
 def training_fold(doc_id: Column) -> Column:
     """True where crc32 of the id as text is no multiple of five (null ids: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
+
+
+#: Copies of the small side of a salted join; a hot key is dealt to so many tasks before Spark splits any further.
+SALTS = 8
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, how: str = "inner") -> DataFrame:
+    """Join where a key may be hot in ``many`` and is unique in ``few``: rows of a key are dealt by a hash of ``by``."""
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copied = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copied, [*on, "__salt"], how).drop("__salt")

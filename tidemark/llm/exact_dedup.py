@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slim
+from tidemark.llm.common import salted_join, slim
 from tidemark.session import cut_lineage
 
 #: A chunk ends after punctuation and a blank, 512 code points from its start at
@@ -76,6 +76,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = recipes(docs, id_col, text_col, bits)
     rows = found.groupBy("recipe", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    groups = rows.groupBy(F.col("recipe").alias("list")).agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    each = rows.join(groups, F.col("recipe") == F.col("list")).select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep"), F.sum("copies").alias("size")).where("size > 1")
+    joined = salted_join(rows, groups, ["recipe"], F.col("doc_id"), "left")
+    each = joined.select(
+        "doc_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", "copies").alias("group_size"),
+        "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return each.select("doc_id", "keep_id", "group_size", ((F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")

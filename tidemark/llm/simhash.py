@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, restored, slim
+from tidemark.llm.common import packed, restored, salted_join, slim
 from tidemark.llm.words import in_groups
 from tidemark.session import cut_lineage, ship_package
 
@@ -208,7 +208,7 @@ def links(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     keys = F.array(*[F.shiftleft(part[i], 13).bitwiseOR(part[j]).bitwiseOR(F.lit(k << 26)) for k, (i, j) in enumerate(two)])
     spread = fps.select("fp", F.explode(keys).alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = spread.join(sizes, "bucket").select("bucket", "fp", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    members = salted_join(spread, sizes, ["bucket"], F.col("fp")).select("bucket", "fp", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     members = members.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     # a large bucket becomes cells, one for each pair of its tiles
     cells = members.select("bucket", "fp", F.col("tile").alias("side"), "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
@@ -231,10 +231,10 @@ def stars(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both.where("v > u"), low, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut_lineage(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = salted_join(large, least, ["u"], F.col("v"))
         edges = cut_lineage(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -251,7 +251,7 @@ def classes(rows: DataFrame, radius: int = 3, width: int = 3, tile: int = TILE)
     rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut_lineage(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "rid", "fp", "component_id")
+    return prints.join(salted_join(rooted, smallest, ["root"], F.col("fp")).select("fp", "component_id"), "fp").select("doc_id", "rid", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:

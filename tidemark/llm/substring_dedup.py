@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, restored
+from tidemark.llm.common import packed, restored, salted_join
 from tidemark.llm.words import in_groups
 from tidemark.session import ship_package
 
@@ -279,7 +279,7 @@ def repeated_runs(rows: DataFrame, width: int, slots_hot: int = HOT_LEAST) -> Da
     if hot:
         each = rows.mapInArrow(hot_windows(width, hot), "window binary, d long, rid long, start long")
         least = each.groupBy("window").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("window", "least")
-        late = each.join(least, "window").where("d > least").select("d", "rid", "start", F.lit(1).cast("long").alias("length"))
+        late = salted_join(each, least, ["window"], F.col("rid")).where("d > least").select("d", "rid", "start", F.lit(1).cast("long").alias("length"))
         runs = runs.unionByName(late)
     return runs
 
