@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANKS, lower_ascii, packed, restored, same_row
+from tidemark.llm.common import BLANKS, lower_ascii, packed, restored, salted_join, same_row
 
 
 def line_keys(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -47,7 +47,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
         .groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("stays")).where(F.col("n_docs") >= min_docs)
     )
     drop = (
-        keys.join(spread, "key").where(~F.col("doc_id").eqNullSafe(F.col("stays")))
+        salted_join(keys, spread, ["key"], F.col("rid")).where(~F.col("doc_id").eqNullSafe(F.col("stays")))
         .groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
     )
     found = rows.join(drop, same_row(rows, drop), "left").select("row", "text", "drop")
