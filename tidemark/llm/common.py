@@ -6,6 +6,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 #: The six characters that count as white space in lines and words.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -16,16 +18,17 @@ def name(column: str) -> Column:
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``text`` (null: empty), ``rid`` and the whole row as ``row``.
+    """``doc_id``, ``text`` (null: empty), ``rid`` and the rest of the row as ``row``.
 
-    The row travels as one struct, so no column of the caller can clash with
-    those that an operator adds. ``rid`` tells apart rows that share an id but
-    not a text; rows that agree in both have one ``rid`` and one fate.
+    The row travels as one struct (``columns``: all but the text; ``no_text``:
+    it was null), so no column of the caller can clash with those that an
+    operator adds. ``rid`` tells apart rows that share an id but not a text;
+    rows that agree in both have one ``rid`` and one fate.
     """
     text = F.coalesce(name(text_col), F.lit(""))
-    return docs.select(
-        name(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(name(id_col), text).alias("rid"), F.struct(*[name(c) for c in docs.columns]).alias("row"),
-    )
+    columns = F.struct(*[name(c) for c in docs.columns if c != text_col])
+    row = F.struct(columns.alias("columns"), name(text_col).isNull().alias("no_text"))
+    return docs.select(name(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(name(id_col), text).alias("rid"), row.alias("row"))
 
 
 def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,16 +42,17 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return (left["rid"] == right["rid"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
-def restored(columns: list[str], text_col: str, text: Column, n_chars: bool = True) -> list[Column]:
-    """The caller's columns out of ``row``, with a new text (and its length in ``n_chars``, if there is one)."""
+def restored(columns: list[str], text_col: str, text: Column) -> list[Column]:
+    """The caller's columns out of ``row``, with a new text (a null stays null) and its length in ``n_chars``, if there is one."""
+    text = F.when(~F.col("row.no_text"), text)
     out = []
     for c in columns:
         if c == text_col:
             out.append(text.alias(c))
-        elif n_chars and c == "n_chars":
-            out.append(F.length(text).cast("long").alias(c))
+        elif c == "n_chars":
+            out.append(F.coalesce(F.length(text), F.lit(0)).cast("long").alias(c))
         else:
-            out.append(F.col("row").getField(c).alias(c))
+            out.append(F.col("row.columns").getField(c).alias(c))
     return out
 
 
@@ -72,3 +76,18 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, how:
     dealt = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     copied = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(copied, [*on, "__salt"], how).drop("__salt")
+
+
+#: Spark's own switch for removing the shuffle files of a query once it has ended.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``cut_lineage``, after which the shuffle files that made the table are gone."""
+    conf = df.sparkSession.conf
+    before = conf.get(SWEEP, None)
+    conf.set(SWEEP, "true")
+    try:
+        return cut_lineage(df, name)
+    finally:
+        conf.unset(SWEEP) if before is None else conf.set(SWEEP, before)

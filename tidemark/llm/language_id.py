@@ -164,13 +164,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Rows with a null id are held out. An empty table gives an empty result.
     """
     model = learn(docs, id_col, text_col, lang_col, rows)
-    slim = docs.select(name(id_col).alias("doc_id"), name(text_col).alias("text"))
-    lean = slim.select("doc_id", "text", F.lit(0).alias("keep"))
-    found = identified(lean, model)
-    return found.select(F.col("row.doc_id").alias("doc_id"), (~training_fold(F.col("row.doc_id"))).alias("held_out"), "lang_pred", "score")
+    found = identified(docs.select(name(id_col).alias("doc_id"), name(text_col).alias("text")), model)
+    doc_id = F.col("row.columns.doc_id")
+    return found.select(doc_id.alias("doc_id"), (~training_fold(doc_id)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is found with a probability of at least ``least``; ``und`` goes."""
     found = identified(docs, learn(docs, id_col, text_col, lang_col), text_col, id_col)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*restored(docs.columns, text_col, F.col("row").getField(text_col), n_chars=False))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*restored(docs.columns, text_col, F.col("text")))

@@ -27,7 +27,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM judged GROUP BY doc_id""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("row.columns.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op2_substring_dedup", r"""
@@ -44,7 +44,7 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(removed.n, 0)::BIGINT A
 FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("row.columns.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op3_simhash_near_dedup")

@@ -275,4 +275,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
     stay = first.select(F.struct(F.col("first.doc_id").alias("doc_id")).alias("key"), F.col("first.rid").alias("rid"))
     kept = rows.join(stay, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"])
-    return kept.select(*restored(docs.columns, text_col, F.col("row").getField(text_col), n_chars=False))
+    return kept.select(*restored(docs.columns, text_col, F.col("text")))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, restored, salted_join
+from tidemark.llm.common import packed, restored, salted_join, written
 from tidemark.llm.words import in_groups
 from tidemark.session import ship_package
 
@@ -312,8 +312,17 @@ def cut_words(width: int, columns: list[str]):
     return run
 
 
+def cut_rows(docs: DataFrame, id_col: str, text_col: str, width: int, slots_hot: int) -> DataFrame:
+    """(row, text, n_words, n_removed, kept) of every row of ``docs``."""
+    ship_package(docs.sparkSession)
+    rows = packed(docs, id_col, text_col).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    runs = repeated_runs(rows, width, slots_hot).distinct().groupBy("d", "rid").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
+    found = rows.join(written(runs, "runs"), ["d", "rid"], "left").select("row", "text", "runs")
+    return found.mapInArrow(cut_words(width, ["row", "text"]), f"row {found.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string")
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, slots_hot: int = HOT_LEAST) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (as it was, without its text), ``kept`` text, ``n_words``, ``n_removed``.
+    """One row per row of ``docs``: ``row`` (its columns but the text), ``kept`` text, ``n_words``, ``n_removed``.
 
     A word goes if a window of ``width`` consecutive words covers it that also
     starts in a row with a smaller id; windows are those of the input. Kept words
@@ -321,19 +330,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     as below all others. Rows that share an id do not remove each other's words.
     An empty table gives an empty result.
     """
-    ship_package(docs.sparkSession)
-    rows = packed(docs, id_col, text_col)
-    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "rid", "text", F.col("row").dropFields(text_col).alias("row") if len(docs.columns) > 1 else F.struct().alias("row"))
-    runs = repeated_runs(rows, width, slots_hot).distinct().groupBy("d", "rid").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
-    found = rows.join(runs, ["d", "rid"], "left").select("row", "text", "runs")
-    return found.mapInArrow(cut_words(width, ["row"]), f"row {found.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    return cut_rows(docs, id_col, text_col, width, slots_hot).select("row", "kept", "n_words", "n_removed")
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
     """``docs`` with its own columns, the repeated words gone; a text that loses nothing stays as it is, blanks included."""
-    ship_package(docs.sparkSession)
-    rows = packed(docs, id_col, text_col).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    runs = repeated_runs(rows, width).distinct().groupBy("d", "rid").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
-    found = rows.join(runs, ["d", "rid"], "left").select("row", "text", "runs")
-    cut = found.mapInArrow(cut_words(width, ["row", "text"]), f"row {found.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string")
-    return cut.select(*restored(docs.columns, text_col, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row").getField(text_col))))
+    cut = cut_rows(docs, id_col, text_col, width, HOT_LEAST)
+    return cut.select(*restored(docs.columns, text_col, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))))
