@@ -5,6 +5,7 @@ import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import cut_lineage
 
@@ -91,3 +92,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         return cut_lineage(df, name)
     finally:
         conf.unset(SWEEP) if before is None else conf.set(SWEEP, before)
+
+
+def schema(df: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """The types of some columns of ``df``, followed by those of the DDL text ``more``."""
+    return T.StructType([*(df.schema[c] for c in columns), *T.StructType.fromDDL(more).fields])

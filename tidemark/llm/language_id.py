@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import name, packed, restored, training_fold
+from tidemark.llm.common import name, packed, restored, schema, training_fold
 from tidemark.llm.words import in_groups
 from tidemark.session import ship_package
 
@@ -152,7 +152,7 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text", id_
             scores = np.where(letters, scores, 0.0)
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(langs), pa.array(scores)], ["row", "text", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double")
+    return rows.mapInArrow(run, schema(rows, ["row", "text"], "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -109,15 +109,17 @@ def patterns(bins: np.ndarray, room: int) -> np.ndarray:
 
 
 def repeat_counts(shapes: np.ndarray, bins: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares by multiplicative steps: how often to use each pattern so that the lengths used come to the histogram."""
+    """Non-negative least squares by multiplicative steps: how often to use each pattern so that the lengths used come to the histogram.
+
+    Errors weigh as the square of the length: a long piece left over costs most of a sequence."""
     want = bins.astype(float).copy()
     want[0] = 0
+    weight = np.arange(len(want), dtype=float) ** 2
     x = np.full(len(shapes), want.sum() / max(1, 3 * len(shapes)))
-    upper = want[shapes].sum(axis=1)
+    upper = (weight * want)[shapes].sum(axis=1)
     for _ in range(rounds):
         used = np.bincount(shapes.ravel(), weights=np.repeat(x, 3), minlength=len(want))
-        used[0] = 0
-        x *= upper / np.maximum(used[shapes].sum(axis=1), 1e-9)
+        x *= upper / np.maximum((weight * used)[shapes].sum(axis=1), 1e-9)
     return x
 
 
@@ -156,9 +158,9 @@ def layout(bins: np.ndarray, room: int) -> list[tuple[tuple[int, ...], int]]:
     shapes = patterns(left, room)
     if len(shapes):
         x = repeat_counts(shapes, left)
-        for i in np.argsort(-x, kind="stable"):
+        for i in np.lexsort((-x, -shapes.max(axis=1))):  # patterns of long pieces first
             if x[i] < 1:
-                break
+                continue
             lengths = [int(v) for v in shapes[i] if v]
             need = {v: lengths.count(v) for v in lengths}
             times = min(int(x[i]), *(int(left[v]) // k for v, k in need.items()))

@@ -244,14 +244,16 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, radius: int = 3, width: int = 3, tile: int = TILE) -> DataFrame:
-    """(doc_id, rid, fp, component_id) of (doc_id, rid, text)."""
+    """(doc_id, rid, fp, root, component_id) of (doc_id, rid, text).
+
+    ``root`` tells components apart also where rows of two of them share the smallest id."""
     prints = cut_lineage(fingerprints(rows, width), "prints")
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = stars(links(fps.select("fp"), radius, tile))
     rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut_lineage(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(salted_join(rooted, smallest, ["root"], F.col("fp")).select("fp", "component_id"), "fp").select("doc_id", "rid", "fp", "component_id")
+    return prints.join(salted_join(rooted, smallest, ["root"], F.col("fp")).select("fp", "root", "component_id"), "fp").select("doc_id", "rid", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
@@ -272,7 +274,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without a word are one component, as their fingerprints are equal."""
     rows = packed(docs, id_col, text_col).withColumn("key", F.struct("doc_id"))
     found = classes(rows.select("doc_id", "rid", "text"), radius, width)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
     stay = first.select(F.struct(F.col("first.doc_id").alias("doc_id")).alias("key"), F.col("first.rid").alias("rid"))
     kept = rows.join(stay, ["rid", "key"], "left_semi").dropDuplicates(["rid", "key"])
     return kept.select(*restored(docs.columns, text_col, F.col("text")))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, restored, salted_join, written
+from tidemark.llm.common import packed, restored, salted_join, schema, written
 from tidemark.llm.words import in_groups
 from tidemark.session import ship_package
 
@@ -318,7 +318,7 @@ def cut_rows(docs: DataFrame, id_col: str, text_col: str, width: int, slots_hot:
     rows = packed(docs, id_col, text_col).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     runs = repeated_runs(rows, width, slots_hot).distinct().groupBy("d", "rid").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
     found = rows.join(written(runs, "runs"), ["d", "rid"], "left").select("row", "text", "runs")
-    return found.mapInArrow(cut_words(width, ["row", "text"]), f"row {found.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long, kept string")
+    return found.mapInArrow(cut_words(width, ["row", "text"]), schema(found, ["row", "text"], "n_words long, n_removed long, kept string"))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, slots_hot: int = HOT_LEAST) -> DataFrame:
