@@ -34,7 +34,7 @@ MINI = 3
 #: Hash ranges of minimisers that are counted; a slot is hot beyond HOT_SHARE times the mean and HOT_LEAST packed strings.
 SLOTS, HOT_SHARE, HOT_LEAST = 1 << 16, 8, 8192
 #: Bytes of packed strings that a bucket holds on average.
-BUCKET_BYTES = 3_000_000
+BUCKET_BYTES = 1_500_000
 #: The smallest long stands for a null id, which counts as below all others.
 NO_ID = -(1 << 63)
 
@@ -122,7 +122,7 @@ class Packed:
 
 def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, Packed]]:
     """(ids, rids, packed) of groups of rows with at least one window; every text is whole."""
-    for part, texts in in_groups(batches, "text", 3_000_000):
+    for part, texts in in_groups(batches, "text", 1_000_000):
         words = [t.encode().split() for t in texts]
         use = [i for i, w in enumerate(words) if len(w) >= width]
         if use:
