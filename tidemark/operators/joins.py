@@ -36,8 +36,10 @@ def asof(queries: DataFrame, points: DataFrame, keys: Sequence[str], query_at: s
     """Each query row with the latest visible point of its key (struct or NULL).
 
     One ordered scan over the union: no pair of rows is ever formed, and every
-    query survives whether or not a point precedes it.
+    query survives whether or not a point precedes it.  A NULL key or a NULL
+    time matches nothing on either side.
     """
+    points = points.dropna(subset=[*keys, point_at])
     tag = F.lit(POINT_FIRST if inclusive else POINT_AFTER)
     both = timeline(points, queries, keys, F.col(point_at), F.col(query_at), payload, tag,
                     F.col(tie) if tie else None)
@@ -58,9 +60,10 @@ def recent_history(queries: DataFrame, points: DataFrame, keys: Sequence[str], q
 
     A record shows up once it is available and, with ``strict_value``, only
     strictly after the instant it describes.  Windows carry the last ``limit``
-    records along each key, so an array never outgrows the limit.
+    records along each key, so an array never outgrows the limit.  A record
+    with a NULL key, value time or availability is never visible.
     """
-    tagged = points.withColumn("__visible", visible_at).withColumn(
+    tagged = points.withColumn("__visible", visible_at).dropna(subset=[*keys, value_at, "__visible"]).withColumn(
         "__when", F.greatest(F.col("__visible"), F.col(value_at)) if strict_value else F.col("__visible"))
     late = F.lit(POINT_FIRST)
     if strict_value:

@@ -9,6 +9,9 @@ and choose between two exact plans:
 * *split*: the order column is cut at global quantiles, each ``(key, bucket)``
   is scanned on its own, and bucket totals (a few rows per key) carry the state
   of all earlier buckets.
+
+Both give the same rows. A NULL key is a key like any other, NULL order values
+come first and NaN last, as in a window.
 """
 from __future__ import annotations
 
@@ -36,22 +39,34 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def split_points(df: DataFrame, order: Column, biggest: int) -> list[float]:
-    """Ascending cut points that keep each slice of the biggest key small."""
+    """Ascending finite cut points that keep each slice of the biggest key small.
+
+    Beyond ``MAX_BUCKETS`` slices, and for equal order values, a slice grows; it
+    is then sorted with spilling, not held in memory."""
     total_slices = min(MAX_BUCKETS, max(2, 4 * math.ceil(biggest / rows_per_task(df))))
     shares = [i / total_slices for i in range(1, total_slices)]
-    row = df.agg(F.percentile_approx(order, F.array(*map(F.lit, shares)), F.lit(20000))).first()
-    return sorted({float(x) for x in (row[0] or [])})
+    value = order.cast("double")
+    row = df.agg(F.percentile_approx(F.when(~F.isnan(value), value), F.array(*map(F.lit, shares)), F.lit(20000))).first()
+    return sorted({float(x) for x in (row[0] or []) if math.isfinite(x)})
+
+
+def key_struct(keys: Sequence[str]) -> Column:
+    """All keys as one value that is never NULL, so that joins on it keep NULL keys."""
+    return F.struct(*keys) if keys else F.lit(0)
 
 
 def bucket_of(df: DataFrame, order: Column, cuts: list[float], out: str = "__bucket") -> DataFrame:
-    """Tag each row with its slice (JVM-side binary search over the cuts)."""
+    """Tag each row with its slice (JVM-side binary search over the cuts); NULL
+    lies in slice -1 and NaN in one after the last."""
     if not cuts:
         return df.withColumn(out, F.lit(0.0))
     from pyspark.ml.feature import Bucketizer
 
-    tagged = df.withColumn("__order", order.cast("double"))
+    value = order.cast("double")
+    tagged = df.withColumn("__order", F.when(F.isnan(value), F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0))))
     splits = [-math.inf, *cuts, math.inf]
-    return Bucketizer(splits=splits, inputCol="__order", outputCol=out).transform(tagged).drop("__order")
+    placed = Bucketizer(splits=splits, inputCol="__order", outputCol=out).transform(tagged).drop("__order")
+    return placed.withColumn(out, F.when(value.isNull(), F.lit(-1.0)).when(F.isnan(value), F.lit(len(cuts) + 1.0)).otherwise(F.col(out)))
 
 
 def epoch(ts: Column) -> Column:
@@ -90,24 +105,23 @@ def rank_stats(
             .withColumn(equal, F.when(known, F.count(F.lit(1)).over(peers)))
             .withColumn(n, F.when(known, F.count(F.lit(1)).over(Window.partitionBy(*groups))))
         )
-    group = list(within) or ["__all"]
-    base = df if within else df.withColumn("__all", F.lit(0))
-    cells = base.where(known).groupBy(*group, value).agg(F.count(F.lit(1)).alias(equal))
-    cells = bucket_of(cells, F.col(value), split_points(base.where(known), F.col(value).cast("double"), biggest))
-    totals = cells.groupBy(*group, "__bucket").agg(F.sum(equal).alias("__size"))
-    earlier = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.withColumn("__key", key_struct(within))
+    cells = base.where(known).groupBy("__key", value).agg(F.count(F.lit(1)).alias(equal))
+    cells = bucket_of(cells, F.col(value), split_points(base.where(known), F.col(value), biggest))
+    totals = cells.groupBy("__key", "__bucket").agg(F.sum(equal).alias("__size"))
+    earlier = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        *group, "__bucket",
+        "__key", "__bucket",
         F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__base"),
-        F.sum("__size").over(Window.partitionBy(*group)).alias(n),
+        F.sum("__size").over(Window.partitionBy("__key")).alias(n),
     )
-    inside = Window.partitionBy(*group, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__key", "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
         cells.withColumn("__run", F.coalesce(F.sum(equal).over(inside), F.lit(0)))
-        .join(totals, [*group, "__bucket"])
-        .select(*group, value, (F.col("__base") + F.col("__run")).alias(less), equal, n)
+        .join(totals, ["__key", "__bucket"])
+        .select("__key", value, (F.col("__base") + F.col("__run")).alias(less), equal, n)
     )
-    return base.join(ranked, [*group, value], "left").drop("__all")
+    return base.join(ranked, ["__key", value], "left").select(*df.columns, less, equal, n)
 
 
 def quantile_from_ranks(value: str, q: float, prefix: str = "__") -> Column:
@@ -168,7 +182,7 @@ def running(
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({a.name: window_fn[a.kind](a.expr).over(upto) for a in aggs})
     sliced = bucket_of(df, F.col(order[0]), split_points(df, F.col(order[0]), biggest))
-    sliced = sliced.withColumns({f"__in_{a.name}": a.expr for a in aggs})
+    sliced = sliced.withColumns({"__key": key_struct(keys)} | {f"__in_{a.name}": a.expr for a in aggs})
 
     def partial(a: Running) -> Column:
         c = F.col(f"__in_{a.name}")
@@ -176,19 +190,19 @@ def running(
             return F.max_by(c, F.when(c.isNotNull(), F.struct(*order))).alias(f"__part_{a.name}")
         return window_fn[a.kind](c).alias(f"__part_{a.name}")
 
-    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        sliced.groupBy(*keys, "__bucket").agg(*[partial(a) for a in aggs])
-        .select(*keys, "__bucket",
+        sliced.groupBy("__key", "__bucket").agg(*[partial(a) for a in aggs])
+        .select("__key", "__bucket",
                 *[window_fn[a.kind](F.col(f"__part_{a.name}")).over(earlier).alias(f"__carry_{a.name}") for a in aggs])
     )
     inside = (
-        Window.partitionBy(*keys, "__bucket").orderBy(*order)
+        Window.partitionBy("__key", "__bucket").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     scanned = sliced.withColumns(
         {f"__here_{a.name}": window_fn[a.kind](F.col(f"__in_{a.name}")).over(inside) for a in aggs}
-    ).join(carried, [*keys, "__bucket"])
+    ).join(carried, ["__key", "__bucket"])
 
     def merged(a: Running) -> Column:
         here, carry = F.col(f"__here_{a.name}"), F.col(f"__carry_{a.name}")
@@ -200,8 +214,7 @@ def running(
         return (F.greatest if a.kind == "max" else F.least)(here, carry)
 
     out = scanned.withColumns({a.name: merged(a) for a in aggs})
-    helper = [c for c in out.columns if c.startswith(("__in_", "__here_", "__carry_"))]
-    return out.drop("__bucket", *helper)
+    return out.select(*df.columns, *[a.name for a in aggs if a.name not in df.columns])
 
 
 # --------------------------------------------------------------------------

@@ -61,7 +61,7 @@ def broken_join():
 
 def run_live(spark, d, families) -> tuple[str, str]:
     sink, receipts = scratch_path(spark, "scores"), scratch_path(spark, "receipts")
-    stream = live.claimed(live.fresh(live.read_events(spark, deliveries(spark, d))))
+    stream = live.fresh(live.read_events(spark, deliveries(spark, d)))
     live.run_to_end(stream, live.scoring_batch(MODEL, families, sink, receipts), scratch_path(spark, "progress"))
     return sink, receipts
 
@@ -135,7 +135,7 @@ def s08(spark, d):
     """The same deliveries streamed twice into one sink."""
     sink, path = scratch_path(spark, "scores"), deliveries(spark, d)
     for _ in range(2):
-        stream = live.claimed(live.fresh(live.read_events(spark, path)))
+        stream = live.fresh(live.read_events(spark, path))
         live.run_to_end(stream, live.scoring_batch(MODEL, {"history": prior_join(spark, d)}, sink), scratch_path(spark, "progress"))
     return spark.read.parquet(sink).agg(F.count(F.lit(1)).alias("rows"),
                                         F.countDistinct(F.concat_ws("|", "event_key", "ticker_key")).alias("keys"))

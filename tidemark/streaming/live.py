@@ -29,10 +29,13 @@ def fresh(events: DataFrame, seconds: int = REPLAY_SECONDS) -> DataFrame:
     return events.where(F.coalesce(apart <= seconds, F.lit(False)))
 
 
-def claimed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """First delivery of each id within the watermark.  Later repeats are caught
-    by the key check of the sink, which never forgets."""
-    return events.withWatermark("sent_at", delay).dropDuplicatesWithinWatermark(["id"])
+def claimed(batch: DataFrame) -> DataFrame:
+    """First delivery of each id inside a micro-batch, however late it comes.
+    Repeats in later batches are caught by the key check of the sink, which never
+    forgets; a watermark would discard first sightings that arrive out of order."""
+    rest = [c for c in batch.columns if c != "id"]
+    first = F.min_by(F.struct(*rest), F.struct("arrived_at", "sent_at", "event_id"))
+    return batch.groupBy("id").agg(first.alias("__first")).select("id", "__first.*")
 
 
 def per_asset(events: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def scoring_batch(model: LinearModel, families: dict, sink: str, receipts_sink:
             batch.unpersist()
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        rows, receipts = enrich(per_asset(batch), families)
+        rows, receipts = enrich(per_asset(claimed(batch)), families)
         scored = rows.withColumn("prediction", F.coalesce("neutral", model.score())).withColumn(
             "timing", lateness(F.col("arrived_at"), F.col("prediction_deadline")))
         record = scored.select(F.col("event_id").alias("event_key"), F.col("ticker").alias("ticker_key"), "event_type", "prediction",
