@@ -94,6 +94,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
         conf.unset(SWEEP) if before is None else conf.set(SWEEP, before)
 
 
+#: Rows of an Arrow batch at most, for rows that carry whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Keep Arrow batches at ``BATCH_ROWS`` rows, unless the session asks for fewer: JVM and Python hold one batch each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(key))
+    if not 0 < rows <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+
+
 def schema(df: DataFrame, columns: list[str], more: str) -> T.StructType:
     """The types of some columns of ``df``, followed by those of the DDL text ``more``."""
     return T.StructType([*(df.schema[c] for c in columns), *T.StructType.fromDDL(more).fields])

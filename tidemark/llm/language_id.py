@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import name, packed, restored, schema, training_fold
+from tidemark.llm.common import name, packed, restored, schema, small_batches, training_fold
 from tidemark.llm.words import in_groups
 from tidemark.session import ship_package
 
@@ -139,6 +139,7 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text", id_
     """One row per row: ``row`` (as it was), ``text`` (null: empty), ``lang_pred``, ``score``."""
     spark = docs.sparkSession
     ship_package(spark)
+    small_batches(docs)
     rows = packed(docs, id_col, text_col).select("row", "text", F.col("text").rlike(r"\p{L}").alias("letters"))
     if model is None:
         return rows.select("row", "text", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slim
+from tidemark.llm.common import slim, small_batches
 from tidemark.llm.words import in_groups
 from tidemark.session import cut_lineage, ship_package
 
@@ -65,11 +65,12 @@ def tokenizer(path: str, pattern: str | None) -> Callable[[list[str]], list[byte
 def cut(docs: DataFrame, path: str, pattern: str | None, room: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Pieces of every document with the task that made them and their number among its pieces of that length."""
     ship_package(docs.sparkSession)
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, made = tokenizer(path, pattern), TaskContext.get().partitionId(), [0] * (room + 1)
         end = end_id.to_bytes(4, "little")
-        for part, texts in in_groups(batches, "text"):
+        for part, texts in in_groups(batches, "text", 1_000_000):
             of, piece, start, length, ids, crc, nth = [], [], [], [], [], [], []
             for row, data in enumerate(encode(texts)):
                 data += end

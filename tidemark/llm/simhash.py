@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, restored, salted_join, slim
+from tidemark.llm.common import packed, restored, salted_join, slim, small_batches
 from tidemark.llm.words import in_groups
 from tidemark.session import cut_lineage, ship_package
 
@@ -55,9 +55,10 @@ def text_fingerprint(text: str, width: int = 3) -> int:
 def fingerprints(rows: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, rid, fp) of (doc_id, rid, text); ``fp`` holds the 64 bits as a long."""
     ship_package(rows.sparkSession)
+    small_batches(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in in_groups(batches, "text"):
+        for part, texts in in_groups(batches, "text", 1_000_000):
             fp = np.array([text_fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(fp)], ["doc_id", "rid", "fp"])
 

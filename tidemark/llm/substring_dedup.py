@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, restored, salted_join, schema, written
+from tidemark.llm.common import packed, restored, salted_join, schema, small_batches, written
 from tidemark.llm.words import in_groups
 from tidemark.session import ship_package
 
@@ -268,6 +268,7 @@ def repeated_runs(rows: DataFrame, width: int, slots_hot: int = HOT_LEAST) -> Da
     """Runs (d, rid, start, length) of windows of (d, rid, text) that also start in a row with a smaller ``d``."""
     spark = rows.sparkSession
     ship_package(spark)
+    small_batches(rows)
     rows = rows.select("d", "rid", "text")
     counts = rows.mapInArrow(count_slots(width), "slot long, strings long, size long").groupBy("slot").agg(F.sum("strings").alias("strings"), F.sum("size").alias("size"))
     table = counts.toPandas()  # at most SLOTS rows
@@ -294,7 +295,7 @@ def covered(n: int, start: np.ndarray, length: np.ndarray, width: int) -> np.nda
 
 def cut_words(width: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in in_groups(batches, "text"):
+        for part, texts in in_groups(batches, "text", 1_000_000):
             n, gone, kept = [], [], []
             for text, runs in zip(texts, part.column("runs")):
                 words = text.encode().split()

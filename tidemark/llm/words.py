@@ -1,6 +1,7 @@
 """Encode batches of texts word by word, each new word once."""
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,13 @@ class WordEncoder:
         return out
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker serves many stages, and what it has once held counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def in_groups(batches: Iterator[pa.RecordBatch], column: str, characters: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches, each with its texts, of about so many characters (or one text)."""
     for batch in batches:
@@ -71,3 +79,5 @@ def in_groups(batches: Iterator[pa.RecordBatch], column: str, characters: int =
                 texts, start, size = [], start + len(texts), 0
         if texts:
             yield batch.slice(start, len(texts)), texts
+        del batch, texts
+        give_back()
