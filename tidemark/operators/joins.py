@@ -54,12 +54,13 @@ def broadcast_if_small(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
 
 def recent_history(queries: DataFrame, points: DataFrame, keys: Sequence[str], query_at: str, value_at: str,
                    visible_at: Column, payload: Sequence[str], limit: int, out: str = "history",
-                   strict_value: bool = True) -> DataFrame:
+                   strict_value: bool = True, strict_available: bool = False) -> DataFrame:
     """Each query with an array (oldest first) of the last ``limit`` records of
     its key that were visible.
 
-    A record shows up once it is available and, with ``strict_value``, only
-    strictly after the instant it describes.  Windows carry the last ``limit``
+    A record shows up once it is available (with ``strict_available`` only
+    strictly after that) and, with ``strict_value``, only strictly after the
+    instant it describes.  Windows carry the last ``limit``
     records along each key, so an array never outgrows the limit.  A record
     with a NULL key, value time or availability is never visible.
     """
@@ -68,6 +69,8 @@ def recent_history(queries: DataFrame, points: DataFrame, keys: Sequence[str], q
     late = F.lit(POINT_FIRST)
     if strict_value:
         late = F.when(F.col(value_at) >= F.col("__visible"), POINT_AFTER).otherwise(POINT_FIRST)
+    if strict_available:
+        late = F.lit(POINT_AFTER)
     tagged = tagged.withColumn("__late", late)
 
     order = ["__when", "__late", value_at, *[c for c in payload if c != value_at]]

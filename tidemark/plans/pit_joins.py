@@ -171,28 +171,28 @@ def c03(spark, d):
 
 def cached_history(spark, d, limit: int = 40) -> DataFrame:
     """Focal events with the last records of their ticker: figures visible a day
-    after the event (strict), reactions two days after, else masked."""
+    after the event, reactions two days after, else masked; both strictly before the cutoff."""
     f = focal(spark, d)
     points = f.select("ticker", F.col("cutoff").alias("value_timestamp"), "reported_eps", "consensus_eps",
                       "reported_revenue", "consensus_revenue", F.col("car1").alias("abnormal_return"),
                       F.col("event_id").alias("record_id"))
     payload = ["reported_eps", "consensus_eps", "reported_revenue", "consensus_revenue", "abnormal_return", "record_id"]
     packed = jn.recent_history(f, points, ["ticker"], "cutoff", "value_timestamp",
-                               F.col("value_timestamp") + F.expr("INTERVAL 1 DAY"), payload, limit)
-    usable = F.col("cutoff") - F.expr("INTERVAL 2 DAYS")
+                               F.col("value_timestamp") + F.expr("INTERVAL 1 DAY"), payload, limit, strict_available=True)
+    reaction_at = lambda r: r["value_timestamp"] + F.expr("INTERVAL 2 DAYS")
     return packed.withColumn("history", F.transform("history", lambda r: r.withField(
-        "abnormal_return", F.when(r["value_timestamp"] <= usable, r["abnormal_return"]))))
+        "abnormal_return", F.when(pit.reaction_available(r["abnormal_return"], reaction_at(r), F.col("cutoff")), r["abnormal_return"]))))
 
 
 HIST_SQL = FOCAL_SQL + """, hist AS (
   SELECT e.event_id, p.event_id AS record_id, p.cutoff AS value_timestamp, p.reported_eps AS h_re, p.consensus_eps AS h_ce,
     p.reported_revenue AS h_rr, p.consensus_revenue AS h_cr,
-    CASE WHEN p.cutoff + INTERVAL 2 DAY <= e.cutoff THEN p.car1 END AS y,
+    CASE WHEN p.cutoff + INTERVAL 2 DAY < e.cutoff THEN p.car1 END AS y,
     (p.reported_eps - p.consensus_eps) / greatest(abs(p.consensus_eps), 0.05) AS hs_e,
     (p.reported_revenue - p.consensus_revenue) / greatest(abs(p.consensus_revenue), 1.0) AS hs_r,
     row_number() OVER (PARTITION BY e.event_id ORDER BY p.cutoff DESC, p.reported_eps DESC NULLS LAST, p.consensus_eps DESC NULLS LAST,
       p.reported_revenue DESC NULLS LAST, p.consensus_revenue DESC NULLS LAST) AS back
-  FROM focal e JOIN focal p ON p.ticker = e.ticker AND p.cutoff + INTERVAL 1 DAY <= e.cutoff
+  FROM focal e JOIN focal p ON p.ticker = e.ticker AND p.cutoff + INTERVAL 1 DAY < e.cutoff
   QUALIFY back <= 40),
 cur AS (SELECT *, (reported_eps - consensus_eps) / greatest(abs(consensus_eps), 0.05) AS ce,
    (reported_revenue - consensus_revenue) / greatest(abs(consensus_revenue), 1.0) AS cr FROM focal)"""

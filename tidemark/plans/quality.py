@@ -82,11 +82,14 @@ def d17(spark, d):
 
 
 @query("d18_coverage_buckets", f"""WITH {FLAG_SQL} SELECT 'fls' || CASE WHEN f_hist > 0 THEN '+history' ELSE '' END || CASE WHEN f_price > 0 THEN '+price' ELSE '' END || CASE WHEN f_reason > 0 THEN '+reasoning' ELSE '' END AS bucket,
-  count(*) AS n, round(corr(score, realized), 6) + 0.0 AS pearson, round(avg(abs(score - realized)), 6) + 0.0 AS mae FROM fl GROUP BY 1 HAVING count(*) >= 30""")
+  count(*) AS n, CASE WHEN count(*) >= 30 THEN round(corr(score, realized), 6) + 0.0 END AS pearson,
+  CASE WHEN count(*) >= 30 THEN round(avg(abs(score - realized)), 6) + 0.0 END AS mae FROM fl GROUP BY 1""")
 def d18(spark, d):
+    """Every bucket with its size; metrics only from 30 rows on."""
     rows = flagged(spark, d).withColumn("bucket", au.coverage_label())
     p, y = F.col("score"), F.col("realized")
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), m.safe_corr(p, y).alias("pearson"), F.avg(F.abs(p - y)).alias("mae")).where("n >= 30")
+    n = F.count(F.lit(1))
+    return rows.groupBy("bucket").agg(n.alias("n"), F.when(n >= 30, m.safe_corr(p, y)).alias("pearson"), F.when(n >= 30, F.avg(F.abs(p - y))).alias("mae"))
 
 
 @query("d19_row_validation", """SELECT (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)) AS duplicate_keys,
