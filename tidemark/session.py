@@ -18,7 +18,8 @@ TABLES = (
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, local runs) is one made here.
+    Only when a local session names none (tests) is one made here; on a cluster
+    a folder of one machine would lose rows, so that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
