@@ -130,6 +130,16 @@ def test_links_in_large_buckets(spark, tile):
     assert len(set(zip(got, want.tolist()))) == len(set(got)) == len(set(want.tolist()))
 
 
+@pytest.mark.parametrize("edges", [[], [(5, 1), (5, 1), (1, 6)], [(i, i + 1) for i in range(-20, 20)], [(4, 2), (4, 3), (9, 8), (8, 7), (3, 3), (30, 31)]])
+def test_stars_end_at_the_smallest_node(spark, edges):
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = simhash.stars(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted((n, r) for n, r in root.items() if n != r)
+
+
 @pytest.mark.parametrize("bits", [64, 3])
 def test_exact(docs, bits):
     groups = {}

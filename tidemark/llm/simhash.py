@@ -221,15 +221,24 @@ def links(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return keyed.mapInArrow(links_in_cells(radius), "a long, b long").distinct()
 
 
+def crooked(edges: DataFrame) -> bool:
+    """Whether edges (u, v) with u > v are anything but stars around their ``v``: a node has two edges down, or one down and one up."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    most = nodes.agg(F.max(F.col("down") + F.col("up")).alias("most")).first()["most"]
+    return most is not None and most > 1
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """Edges (node, root) that join every node of a component to its smallest node.
 
     Alternates large-star and small-star steps; each ends in a written table.
-    Hot nodes only ever appear as keys of pre-aggregated minima and of joins
-    that Spark can split."""
+    Both keep components whole and edges falling, so once only stars are left
+    their centres are the smallest nodes. Hot nodes only ever appear as keys of
+    pre-aggregated minima and of joins that Spark can split."""
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while crooked(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = salted_join(both.where("v > u"), low, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -238,10 +247,7 @@ def stars(edges: DataFrame) -> DataFrame:
         small = salted_join(large, least, ["u"], F.col("v"))
         edges = cut_lineage(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def classes(rows: DataFrame, radius: int = 3, width: int = 3, tile: int = TILE) -> DataFrame:
