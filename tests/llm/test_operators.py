@@ -297,6 +297,18 @@ def test_lm(docs, empty, spark):
     assert odd[0]["n_tokens"] == 0 == odd[0]["log_likelihood"] and odd[7]["n_tokens"] == 4000
 
 
+def test_lm_trains_on_every_token(spark):
+    """Words of the second class stand only at places 2 and 3 modulo 4."""
+    text = " ".join(f"w{i // 4 * 2 + i % 2 + (32 if i % 4 > 1 else 0):03d}" for i in range(64))
+    vocabulary, flat = lm_scoring.learn(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    start = lm_scoring.first_weights(lm_scoring.vocabulary_of(lm_scoring.word_counts(spark.createDataFrame([(text,)], "text string")))[1])
+    changed = (lm_scoring.Network(flat).b2 != lm_scoring.Network(start).b2).any(axis=1)
+    assert changed.tolist() == [True, True] + [False] * (lm_scoring.SIDE - 2)
+    _, at, of = vocabulary.batch(["a b c d e", "", "f", "g h i j k l m", "n o"])
+    for rounds in (1, 2, 4):
+        assert sorted(np.concatenate([lm_scoring.targets(at, of, r, rounds) for r in range(rounds)]).tolist()) == at.tolist()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()

@@ -3,8 +3,9 @@
 A small network predicts every token from two tokens on either side: four
 embedding tables are added up, one for each place, and a two-step softmax names
 the token's class and the token within it. Corpus word counts give the
-vocabulary and the first biases. All documents train the network, each task on
-its own part of them, and the tasks' weights are averaged between rounds. A
+vocabulary and the first biases. Every token of all documents is a target of the
+network once, each task trains on its own part of the documents, and the tasks'
+weights are averaged between rounds. A
 document's score is the sum of the conditional log-probabilities of its tokens.
 """
 from __future__ import annotations
@@ -30,8 +31,8 @@ HIDDEN = 16
 #: Places of the context, relative to the token.
 PLACES = (-2, -1, 1, 2)
 PAD = VOCABULARY
-#: In a round a document trains on every STRIDE-th token; rounds shift by one.
-ROUNDS, STRIDE, BATCH, RATE = 2, 4, 2048, 0.08
+#: Every token is trained on in one of the rounds, by its place in its text modulo ROUNDS.
+ROUNDS, BATCH, RATE = 2, 2048, 0.08
 #: Weights travel in pieces of this many numbers.
 PIECE = 4096
 
@@ -166,7 +167,13 @@ def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return Vocabulary([bytes(r["word"]) for r in top]), out
 
 
-def trained(rows: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, shift: int) -> np.ndarray:
+def targets(at: np.ndarray, of: np.ndarray, shift: int, rounds: int) -> np.ndarray:
+    """The places of round ``shift``: tokens whose place in their own text is ``shift`` modulo ``rounds``, however texts are grouped."""
+    first = np.searchsorted(of, of)
+    return at[(np.arange(len(of)) - first) % rounds == shift]
+
+
+def trained(rows: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, shift: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after one round: the mean of the tasks' weights, by tokens trained on."""
     shared = rows.sparkSession.sparkContext.broadcast((vocabulary, flat))
 
@@ -174,8 +181,8 @@ def trained(rows: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, shift: in
         words, start = shared.value
         net, seen = Network(start), 0
         for _, texts in in_groups(batches, "text", 1_000_000):
-            ids, at, _ = words.batch(texts)
-            at = at[shift % STRIDE::STRIDE]
+            ids, at, of = words.batch(texts)
+            at = targets(at, of, shift, rounds)
             at = at[np.random.default_rng(len(at)).permutation(len(at))]
             for i in range(0, len(at), BATCH):
                 net.step(ids, at[i:i + BATCH], RATE)
@@ -202,7 +209,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     vocabulary, counts = vocabulary_of(word_counts(rows))
     flat = first_weights(counts)
     for r in range(rounds):
-        flat = trained(rows, vocabulary, flat, r)
+        flat = trained(rows, vocabulary, flat, r, rounds)
     return vocabulary, flat
 
 
