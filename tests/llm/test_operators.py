@@ -309,6 +309,24 @@ def test_lm_trains_on_every_token(spark):
         assert sorted(np.concatenate([lm_scoring.targets(at, of, r, rounds) for r in range(rounds)]).tolist()) == at.tolist()
 
 
+@pytest.mark.parametrize("head", [lm_scoring.HEAD, lm_scoring.WORDS])
+def test_lm_scores_words_within_buckets(spark, monkeypatch, head):
+    """Two real words and a made-up one of one bucket differ by the log of their counts; shares of a bucket add up to one."""
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    rare = [w for w in (f"rare{i}" for i in range(20_000)) if lm_scoring.bucket(w.encode()) == lm_scoring.WORDS][:3]
+    text = " ".join([f"top{i} " * 9 for i in range(lm_scoring.WORDS)] + [rare[0]] * 5 + [rare[1]] * 2)
+    known = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    words = lm_scoring.words_table(known)
+    model = lm_scoring.learn(known, words=words)
+    asked = spark.createDataFrame([(i, f"top1 top2 {w} top3") for i, w in enumerate(rare)] + [(None, f"{rare[0]} {rare[0]}"), (9, None), (9, None)], "doc_id long, text string")
+    net = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.score(asked, model).collect()}
+    got = lm_scoring.score(asked, model, words=words).collect()
+    full = {r["doc_id"]: r["log_likelihood"] for r in got}
+    assert len(got) == 6 and full[9] == 0
+    assert [full[i] - net[i] for i in range(3)] == pytest.approx(np.log([5 / 8, 2 / 8, 1 / 8]).tolist())
+    assert full[None] - net[None] == pytest.approx(2 * np.log(5 / 8))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()

@@ -7,6 +7,10 @@ vocabulary and the first biases. Every token of all documents is a target of the
 network once, each task trains on its own part of the documents, and the tasks'
 weights are averaged between rounds. A
 document's score is the sum of the conditional log-probabilities of its tokens.
+
+Words beyond the most frequent ones share buckets in the network. Within its
+bucket a word has the share of its corpus count, out of a table of all words of
+the corpus: tasks hold the head of the table, a join in Spark brings the rest.
 """
 from __future__ import annotations
 
@@ -27,6 +31,8 @@ from tidemark.session import cut_lineage, ship_package
 SIDE = 32
 VOCABULARY, RARE = SIDE * SIDE, 256
 WORDS = VOCABULARY - RARE
+#: The most frequent words, held by every task; the counts of all others are joined.
+HEAD = 1 << 16
 HIDDEN = 16
 #: Places of the context, relative to the token.
 PLACES = (-2, -1, 1, 2)
@@ -56,20 +62,41 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return cut_lineage(found.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
+def bucket(word: bytes) -> int:
+    return WORDS + zlib.crc32(word) % RARE
+
+
 class Vocabulary:
-    def __init__(self, words: list[bytes]):
+    """Tokens of words, and for words in a bucket their share of it.
+
+    ``words`` are the head of the corpus's words, most frequent first, with their
+    counts; ``rare`` are the counts of the buckets. Words that the corpus does
+    not hold have, together, the share of one more occurrence in their bucket."""
+
+    def __init__(self, words: list[bytes], times: list[int], rare: np.ndarray):
         self.place = {w: i for i, w in enumerate(words)}
+        self.token = np.array([i if i < WORDS else bucket(w) for i, w in enumerate(words)], np.int64)
+        self.log_rare = np.log(rare + 1.0)
+        self.log_share = np.zeros(len(words))
+        self.log_share[WORDS:] = np.log(np.array(times[WORDS:], float)) - self.log_rare[self.token[WORDS:] - WORDS]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get, crc = self.place.get, zlib.crc32
-        found = np.array([get(w, -1) for w in words], np.int64)
-        rare = np.flatnonzero(found < 0)
-        found[rare] = [WORDS + crc(words[i]) % RARE for i in rare.tolist()]
-        return found
-
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts with two pads around each; the places that hold tokens; the text of each."""
-        each = [self.ids(words_of(t)) for t in texts]
+        return self.looked_up(words)[0]
+
+    def looked_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids; log of each word's share of its token (0 for a word of its own, unset beyond the head); which words lie beyond the head."""
+        get = self.place.get
+        place = np.array([get(w, -1) for w in words], np.int64)
+        beyond = np.flatnonzero(place < 0)
+        found, share = np.zeros(len(words), np.int64), np.zeros(len(words))
+        known = place >= 0
+        found[known], share[known] = self.token[place[known]], self.log_share[place[known]]
+        found[beyond] = [bucket(words[i]) for i in beyond.tolist()]
+        return found, share, beyond
+
+    def batch(self, texts: list[str], found: list[tuple[np.ndarray, ...]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts (``found``: looked up already) with two pads around each; the places that hold tokens; the text of each."""
+        each = [f[0] for f in found] if found is not None else [self.ids(words_of(t)) for t in texts]
         sizes = np.array([len(x) for x in each])
         ids = np.full(int(sizes.sum()) + 2 * len(each) + 2, PAD, np.int64)
         of = np.repeat(np.arange(len(each)), sizes)
@@ -157,14 +184,15 @@ def added(table: np.ndarray, rows: np.ndarray, values: np.ndarray, scale: np.flo
 
 def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The most frequent words (ties by bytes) and the corpus count of every token."""
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    top = head[:WORDS]
     out = np.zeros(VOCABULARY)
     out[:len(top)] = [r["n"] for r in top]
     for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(RARE)).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # RARE rows
         out[WORDS + r["bucket"]] = r["n"]
     for r in top:
-        out[WORDS + zlib.crc32(r["word"]) % RARE] -= r["n"]
-    return Vocabulary([bytes(r["word"]) for r in top]), out
+        out[bucket(r["word"])] -= r["n"]
+    return Vocabulary([bytes(r["word"]) for r in head], [r["n"] for r in head], out[WORDS:]), out
 
 
 def targets(at: np.ndarray, of: np.ndarray, shift: int, rounds: int) -> np.ndarray:
@@ -202,33 +230,62 @@ def trained(rows: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, shift: in
     return out
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and weights from all of ``docs``."""
+def words_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``word_counts`` of a table of documents."""
+    ship_package(docs.sparkSession)
+    return word_counts(slim(docs, id_col, text_col))
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None) -> tuple[Vocabulary, np.ndarray]:
+    """Vocabulary and weights from all of ``docs``; ``words`` is their ``words_table``, if it is there already."""
     ship_package(docs.sparkSession)
     rows = slim(docs, id_col, text_col)
-    vocabulary, counts = vocabulary_of(word_counts(rows))
+    vocabulary, counts = vocabulary_of(word_counts(rows) if words is None else words)
     flat = first_weights(counts)
     for r in range(rounds):
         flat = trained(rows, vocabulary, flat, r, rounds)
     return vocabulary, flat
 
 
-def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """One row per row: doc_id, n_tokens, log_likelihood (sum over tokens, natural log), mean_log_likelihood.
 
-    A null or empty text has no tokens and 0 in both scores. An empty table gives
-    an empty result."""
+    ``words`` is the ``words_table`` that the model was learned from; with it the
+    scores are those of the words themselves. Without it they are those of the
+    network's tokens, where all words of a bucket are one. A null or empty text
+    has no tokens and 0 in both scores. An empty table gives an empty result."""
     ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, whole = docs.sparkSession.sparkContext.broadcast(model), words is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
+        vocabulary, flat = shared.value
         net = Network(flat)
         for part, texts in in_groups(batches, "text", 1_000_000):
-            ids, at, of = words.batch(texts)
+            each = [vocabulary.looked_up(words_of(t)) for t in texts] if whole else None
+            ids, at, of = vocabulary.batch(texts, each)
             n = np.bincount(of, minlength=len(texts))
-            total = np.bincount(of, weights=net.log_probability(ids, at), minlength=len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            total = np.bincount(of, weights=net.log_probability(ids, at), minlength=len(texts)).astype(float)  # whole numbers if there is no token
+            if not whole:
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(total)], ["doc_id", "n_tokens", "total"])
+                continue
+            total += np.array([share.sum() for _, share, _ in each])
+            split = [words_of(t) if len(beyond) else [] for t, (_, _, beyond) in zip(texts, each)]
+            rest = [Counter(w[i] for i in beyond.tolist()) for w, (_, _, beyond) in zip(split, each)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(total), pa.array([list(r) for r in rest], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rest], pa.list_(pa.int64()))],
+                ["doc_id", "n_tokens", "total", "rest", "times"])
 
     rows = slim(docs, id_col, text_col).select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    made = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, total double" + ", rest array<binary>, times array<long>" * whole)
+    if whole:
+        made = with_rest(made, words, model[0].log_rare)
+    return made.select("doc_id", "n_tokens", F.col("total").alias("log_likelihood"), (F.col("total") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood"))
+
+
+def with_rest(scored: DataFrame, words: DataFrame, log_rare: np.ndarray) -> DataFrame:
+    """Adds the shares of the words beyond the head: log of the word's count (1 for all unseen words together) less that of its bucket, times its occurrences."""
+    scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
+    of_bucket = F.array(*[F.lit(float(x)) for x in log_rare])[F.pmod(F.crc32("word"), F.lit(RARE)).cast("int")]
+    more = rest.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * (F.log(F.coalesce("n", F.lit(1)).cast("double")) - of_bucket)).alias("more"))
+    return scored.join(more, "row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0)))
