@@ -233,6 +233,7 @@ def test_collocations_with_extended_prefixes_and_small_groups(spark, monkeypatch
     rows = [(i, t, "en" if i % 5 else None) for i, t in enumerate(texts)]
     monkeypatch.setattr(collocations, "LEAST_BUDGET", 20)
     monkeypatch.setattr(collocations, "TASK_SUFFIXES", 500)
+    monkeypatch.setattr(collocations, "WORD_SHARE", 40)
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
     want = wanted_collocations(rows, 10, top=50)
     assert found_collocations(collocations.collocations(df, least=10, top=50)) == want

@@ -10,9 +10,10 @@ A node's count is the total of the leaves below it. The counts of prefixes that
 were extended come from the grouping itself.
 
 Exact pruning keeps the tree small: a phrase is never more frequent than any
-of its words, so suffixes end before the first word that is too rare. Words are
-first tested against a Bloom filter of fixed size; what it lets through by
-mistake is counted and then dropped for its count.
+of its words or pairs of neighbours, so suffixes end before the first pair that
+is too rare. Words, then pairs, are counted and the frequent ones marked in Bloom
+filters of fixed size; what a filter lets through by mistake is counted in the
+tree and then dropped for its count.
 """
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import name, salted_join, written
 from tidemark.llm.substring_dedup import Spans
-from tidemark.llm.tokens import Tokens, batch_rows, bloom_bits, bloom_block, counted, gathered_blocks, in_bloom, text_groups
+from tidemark.llm.tokens import Tokens, batch_rows, bloom_bits, bloom_block, counted, gathered_blocks, in_bloom, mixed, text_groups
 from tidemark.session import ship_package
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -36,8 +37,10 @@ BETWEEN = re.compile("[.,;:!?\n\x0b\x0c\r]")
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 #: Between the words of a phrase: below every other character, so that a sorted subtree is one run.
 SEP = "\x00"
-#: 64-bit blocks of the filter of frequent words (8 MB), whatever their number.
+#: 64-bit blocks of the filters of frequent words and pairs (8 MB each), whatever their number.
 FILTER_BLOCKS = 1 << 20
+#: Occurrences of a word beyond which the words behind it are counted in several tasks; at most MOST_SPLIT words are that frequent.
+WORD_SHARE, MOST_SPLIT = 1_000_000, 1 << 16
 #: Suffixes that a task should hold, and the most tasks; a prefix is extended beyond a quarter of a task's share.
 TASK_SUFFIXES, MOST_TASKS = 1_000_000, 1 << 16
 #: Prefixes with fewer suffixes are never extended.
@@ -100,25 +103,107 @@ def mark_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bloom_block(h, FILTER_BLOCKS)), pa.array(bloom_bits(h).view(np.int64))], ["block", "bits"])
 
 
-def suffixes(filter_, depth: int):
-    """Rows (lang, suffix, words, n): distinct suffixes of at least two frequent words in a group of texts."""
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
+def neighbours(found: Tokens, ok: np.ndarray) -> np.ndarray:
+    """Places whose word and the next one of the same piece are both frequent."""
+    return np.flatnonzero(ok[:-1] & ok[1:] & (found.piece[1:] == found.piece[:-1]))
+
+
+def pair_blocks(words_sent, split_sent):
+    """Rows (lang, word, part, nexts, counts): for a word of a group of texts the frequent words behind it, and how often.
+
+    Words behind a very frequent word are dealt to ``part``s by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, split = words_sent.value, split_sent.value
+        for found, lang, langs in groups(batches):
+            h = word_hash(found.words)
+            at = neighbours(found, in_bloom(frequent, h)[found.code])
+            if not len(at):
+                continue
+            wide = len(found.words)
+            one, n = counted(lang[at] * wide + found.code[at], found.code[at + 1])
+            at = at[one]
+            head, tail = lang[at] * wide + found.code[at], found.code[at + 1]
+            kinds_, of = np.unique(head, return_inverse=True)
+            names, spoken = text_of(found.words.take(pa.array(kinds_ % wide))), langs.take(pa.array(kinds_ // wide))
+            parts = np.array([split.get(k, 1) for k in zip(spoken.to_pylist(), names.to_pylist())], np.uint64)[of]
+            part = (h[tail] % parts).astype(np.int64)
+            order = np.lexsort((part, of))
+            of, part, tail, n = of[order], part[order], tail[order], n[order]
+            heads = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (part[1:] != part[:-1])]))
+            edges = pa.array(np.append(heads, len(of)), pa.int32())
+            nexts = pc.binary_join(pa.ListArray.from_arrays(edges, text_of(found.words.take(pa.array(tail)))), SEP)
+            yield pa.RecordBatch.from_arrays([
+                spoken.take(pa.array(of[heads])), names.take(pa.array(of[heads])), pa.array(part[heads]), nexts,
+                pa.ListArray.from_arrays(edges, pa.array(n))], ["lang", "word", "part", "nexts", "counts"])
+
+    return run
+
+
+def mark_pairs(least: int):
+    """Rows (block, bits) of the pairs with enough occurrences, from sorted :func:`pair_blocks`; holds a batch and the last word's pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def marks(words: pa.Array, nexts: pa.Array) -> pa.RecordBatch:
+            h = pair_hash(word_hash(words), word_hash(nexts))
+            return pa.RecordBatch.from_arrays([pa.array(bloom_block(h, FILTER_BLOCKS)), pa.array(bloom_bits(h).view(np.int64))], ["block", "bits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            spoken, word, part = (batch.column(c) for c in ("lang", "word", "part"))
+            code = [c.dictionary_encode().indices.to_numpy() for c in (spoken, word)] + [part.to_numpy()]
+            key = np.cumsum(np.concatenate([[0], np.logical_or.reduce([c[1:] != c[:-1] for c in code])]))
+            lists = pc.split_pattern(batch.column("nexts"), SEP)
+            of, nexts, n = key[pc.list_parent_indices(lists).to_numpy()], lists.flatten(), batch.column("counts").flatten().to_numpy()
+            words = word.take(pa.array(np.flatnonzero(np.diff(key, prepend=-1))))
+            first, last = (tuple(c[i].as_py() for c in (spoken, word, part)) for i in (0, batch.num_rows - 1))
+            if held and held[0] == first:
+                of, n = np.concatenate([np.zeros(len(held[2]), np.int64), of]), np.concatenate([held[2], n])
+                nexts = pa.concat_arrays([held[1], nexts])
+            elif held:
+                use = pa.array(held[2] >= least)
+                yield marks(pa.array([held[0][1]] * int((held[2] >= least).sum()), pa.string()), held[1].filter(use))
+            encoded = nexts.dictionary_encode()
+            at, total = counted(of, encoded.indices.to_numpy(), weight=n)
+            mine = of[at] == key[-1]
+            held = (last, nexts.take(pa.array(at[mine])), total[mine])
+            use = ~mine & (total >= least)
+            yield marks(words.take(pa.array(of[at[use]])), nexts.take(pa.array(at[use])))
+        if held:
+            use = held[2] >= least
+            yield marks(pa.array([held[0][1]] * int(use.sum()), pa.string()), held[1].filter(pa.array(use)))
+
+    return run
+
+
+def suffixes(words_sent, pairs_sent, depth: int):
+    """Rows (lang, suffix, words, n): distinct suffixes of frequent pairs in a group of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = filter_.value
+        frequent, paired = words_sent.value, pairs_sent.value
         for found, lang, langs in groups(batches):
-            ok = in_bloom(frequent, word_hash(found.words))[found.code]
-            n = len(ok)
-            fresh = np.ones(n, bool)
-            fresh[1:] = (found.piece[1:] != found.piece[:-1]) | ~ok[1:] | ~ok[:-1]
-            run_of = np.cumsum(fresh)
-            path = np.zeros((depth, n), np.int64)  # 0: no word
-            path[0] = found.code + 1
-            for d in range(1, min(depth, n)):
-                path[d, :n - d] = np.where(run_of[d:] == run_of[:n - d], found.code[d:] + 1, 0)
-            use = np.flatnonzero(ok & (path[1] > 0))
-            if not len(use):
+            h = word_hash(found.words)
+            n = len(found.code)
+            near = neighbours(found, in_bloom(frequent, h)[found.code])
+            near = near[in_bloom(paired, pair_hash(h[found.code[near]], h[found.code[near + 1]]))]
+            if not len(near):
                 continue
-            path, lang = path[:, use], lang[use]
+            goes_on = np.zeros(n, bool)
+            goes_on[near] = True
+            run_of = np.cumsum(np.concatenate([[True], ~goes_on[:-1]]))
+            path = np.zeros((depth, len(near)), np.int64)  # 0: no word
+            path[0] = found.code[near] + 1
+            for d in range(1, depth):
+                there = np.minimum(near + d, n - 1)
+                path[d] = np.where((near + d < n) & (run_of[there] == run_of[near]), found.code[there] + 1, 0)
+            lang = lang[near]
             wide = len(found.words) + 1
             keys = [lang * wide + path[0], *(path[d] * wide + (path[d + 1] if d + 1 < depth else 0) for d in range(1, depth, 2))]
             at, many = counted(*keys)
@@ -236,6 +321,14 @@ def subtrees(depth: int, least: int):
     return run
 
 
+def filled(marks: DataFrame) -> np.ndarray:
+    """The filter of (block, bits) rows."""
+    filter_ = np.zeros(FILTER_BLOCKS, np.uint64)
+    block, bits = gathered_blocks(marks)
+    filter_[block] = bits
+    return filter_
+
+
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", depth: int = 5, least: int = 100) -> DataFrame:
     """(lang, phrase, f): all phrases of one to ``depth`` words with at least ``least`` occurrences, and the empty phrase with all words.
 
@@ -247,12 +340,17 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     with batch_rows(spark, 1000):
         single = texts.mapInArrow(count_words, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         single = written(single.where((F.col("f") >= least) | (F.col("phrase") == "")), "words")
-    filter_ = np.zeros(FILTER_BLOCKS, np.uint64)
-    block, bits = gathered_blocks(single.where("phrase != ''").select("phrase").mapInArrow(mark_words, "block long, bits long"))
-    filter_[block] = bits
-    sent = spark.sparkContext.broadcast(filter_)
+    words = filled(single.where("phrase != ''").select("phrase").mapInArrow(mark_words, "block long, bits long"))
+    words_sent = spark.sparkContext.broadcast(words)
+    total = single.where("phrase = ''").agg(F.sum("f")).first()[0] or 0
+    share = max(WORD_SHARE, total // MOST_SPLIT)
+    split = single.where((F.col("phrase") != "") & (F.col("f") > share)).collect()  # at most MOST_SPLIT words
+    split_sent = spark.sparkContext.broadcast({(r["lang"], r["phrase"]): -(-r["f"] // share) for r in split})
     with batch_rows(spark, 1000):
-        table = written(texts.mapInArrow(suffixes(sent, depth), "lang string, suffix string, words int, n long"), "suffixes")
+        blocks = texts.mapInArrow(pair_blocks(words_sent, split_sent), "lang string, word string, part long, nexts string, counts array<long>")
+        blocks = blocks.repartition("lang", "word", "part").sortWithinPartitions("lang", "word", "part")
+        pairs_sent = spark.sparkContext.broadcast(filled(blocks.mapInArrow(mark_pairs(least), "block long, bits long")))
+        table = written(texts.mapInArrow(suffixes(words_sent, pairs_sent, depth), "lang string, suffix string, words int, n long"), "suffixes")
     rows = table.count()
     tasks = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_SUFFIXES)))
     budget = max(LEAST_BUDGET, rows // tasks // 4)
@@ -273,7 +371,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     out = single
     for part in [nodes, *trunk]:
         out = out.unionByName(part)
-    sent.unpersist()
+    for sent in (words_sent, split_sent, pairs_sent):
+        sent.unpersist()
     return out
 
 
