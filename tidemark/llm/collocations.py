@@ -139,7 +139,7 @@ def pair_blocks(words_sent, split_sent):
             nexts = pc.binary_join(pa.ListArray.from_arrays(edges, text_of(found.words.take(pa.array(tail)))), SEP)
             yield pa.RecordBatch.from_arrays([
                 spoken.take(pa.array(of[heads])), names.take(pa.array(of[heads])), pa.array(part[heads]), nexts,
-                pa.ListArray.from_arrays(edges, pa.array(n))], ["lang", "word", "part", "nexts", "counts"])
+                pa.ListArray.from_arrays(edges, pa.array(n.astype(np.int32)))], ["lang", "word", "part", "nexts", "counts"])
 
     return run
 
@@ -161,7 +161,7 @@ def mark_pairs(least: int):
             code = [c.dictionary_encode().indices.to_numpy() for c in (spoken, word)] + [part.to_numpy()]
             key = np.cumsum(np.concatenate([[0], np.logical_or.reduce([c[1:] != c[:-1] for c in code])]))
             lists = pc.split_pattern(batch.column("nexts"), SEP)
-            of, nexts, n = key[pc.list_parent_indices(lists).to_numpy()], lists.flatten(), batch.column("counts").flatten().to_numpy()
+            of, nexts, n = key[pc.list_parent_indices(lists).to_numpy()], lists.flatten(), batch.column("counts").flatten().to_numpy().astype(np.int64)
             words = word.take(pa.array(np.flatnonzero(np.diff(key, prepend=-1))))
             first, last = (tuple(c[i].as_py() for c in (spoken, word, part)) for i in (0, batch.num_rows - 1))
             if held and held[0] == first:
@@ -347,9 +347,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     split = single.where((F.col("phrase") != "") & (F.col("f") > share)).collect()  # at most MOST_SPLIT words
     split_sent = spark.sparkContext.broadcast({(r["lang"], r["phrase"]): -(-r["f"] // share) for r in split})
     with batch_rows(spark, 1000):
-        blocks = texts.mapInArrow(pair_blocks(words_sent, split_sent), "lang string, word string, part long, nexts string, counts array<long>")
+        blocks = texts.mapInArrow(pair_blocks(words_sent, split_sent), "lang string, word string, part long, nexts string, counts array<int>")
         blocks = blocks.repartition("lang", "word", "part").sortWithinPartitions("lang", "word", "part")
-        pairs_sent = spark.sparkContext.broadcast(filled(blocks.mapInArrow(mark_pairs(least), "block long, bits long")))
+        marks = written(blocks.mapInArrow(mark_pairs(least), "block long, bits long"), "pairs")  # its shuffle files go before the suffixes come
+        pairs_sent = spark.sparkContext.broadcast(filled(marks))
         table = written(texts.mapInArrow(suffixes(words_sent, pairs_sent, depth), "lang string, suffix string, words int, n long"), "suffixes")
     rows = table.count()
     tasks = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_SUFFIXES)))
