@@ -82,6 +82,30 @@ def test_passages(docs, hot, monkeypatch):
     assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 100
 
 
+def test_one_repeated_word_fills_many_short_strings(spark, monkeypatch):
+    texts = ["word " * 30_000, "word " * 30_000 + "end", "other " + "word " * 20, "word " * 12]
+    packed = substring_dedup.Packed([" ".join(t.split()).encode() for t in texts], 13)
+    assert packed.size.max() <= substring_dedup.STRING_WINDOWS
+    assert [packed.size[packed.doc == i].sum() for i in range(4)] == [29_988, 29_989, 9, 0]
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
+    for hot in (4_000_000, 1000):  # gathered by minimiser, and as a hot slot by its bytes
+        monkeypatch.setattr(substring_dedup, "HOT_BYTES", hot)
+        monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        found = {r[0]: r[1:] for r in substring_dedup.judged(df).select("row.columns.doc_id", "n_words", "n_removed", "kept").collect()}
+        assert found == {0: (30_000, 0, texts[0].strip()), 1: (30_001, 30_000, "end"), 2: (21, 20, "other"), 3: (12, 0, texts[3].strip())}
+
+
+def test_buckets_end_between_minimisers(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 50)
+    mini = [1, 1, 1, 2, 2, 3, 3, 3, 3, 9]
+    rows = pa.table({"mini": mini, "string": pa.array([b"x" * 10] * len(mini))})
+    for size in (1, 3, 100):
+        found = [t["mini"].to_pylist() for t in substring_dedup.buckets(iter(rows.to_batches(max_chunksize=size)))]
+        assert sum(found, []) == mini and all(not set(a) & set(b) for i, a in enumerate(found) for b in found[i + 1:])
+
+
 def test_colliding_windows_are_told_apart():
     strings = b"a b\na c\na b"
     start, end = np.array([0, 4, 8]), np.array([3, 7, 11])

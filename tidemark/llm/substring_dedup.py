@@ -2,26 +2,26 @@
 
 A window is a run of consecutive words. Each window is dealt by its minimiser,
 the smallest hash among its runs of ``MINI`` words; consecutive windows with
-one minimiser travel as one packed string. In its bucket every window is cut out
-again, the windows are sorted by a rolling hash, equal runs are verified byte by
-byte, and each window learns the smallest document that starts it. What returns
-to the documents are runs of window starts.
+one minimiser travel as one packed string, a row of its own, so the rows grow
+with the words and with nothing else. Spark deals and sorts them by minimiser. A
+bucket is a stretch of that order, cut between minimisers: there every window is
+cut out again, the windows are sorted by a rolling hash, equal runs are verified
+byte by byte, and each window learns the smallest document that starts it. What
+returns to the documents are runs of window starts.
 
 A minimiser of a very common phrase would gather a bucket that no task can hold.
-Slots (hash ranges of minimisers) are counted first, and windows of a slot far
-above the others are not gathered: their first documents are pre-aggregated by
-window and joined back, a join that Spark can split.
+Slots (hash ranges of minimisers) are counted first, by strings and by bytes, and
+windows of a slot far above the others are not gathered: their first documents
+are pre-aggregated by window and joined back, a join that Spark can split.
 """
 from __future__ import annotations
 
 import functools
 import hashlib
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +31,12 @@ from tidemark.session import ship_package
 
 #: Words of a run whose hash can be a minimiser.
 MINI = 3
-#: Hash ranges of minimisers that are counted; a slot is hot beyond HOT_SHARE times the mean and HOT_LEAST packed strings.
-SLOTS, HOT_SHARE, HOT_LEAST = 1 << 16, 8, 8192
-#: Bytes of packed strings that a bucket holds on average.
+#: Hash ranges of minimisers that are counted; a slot is hot beyond HOT_SHARE times the mean and HOT_LEAST packed strings, or as many bytes.
+SLOTS, HOT_SHARE, HOT_LEAST, HOT_BYTES = 1 << 16, 8, 8192, 4_000_000
+#: Bytes of packed strings beyond which a bucket ends at the next minimiser.
 BUCKET_BYTES = 1_500_000
+#: Windows of a packed string at most; the next string repeats the words that its first windows need.
+STRING_WINDOWS = 4096
 #: The smallest long stands for a null id, which counts as below all others.
 NO_ID = -(1 << 63)
 
@@ -107,6 +109,9 @@ class Packed:
         least = sliding_min(mini, width - MINI + 1)[first] if len(first) else mini
         new = np.ones(len(first), bool)
         new[1:] = (least[1:] != least[:-1]) | (first[1:] != first[:-1] + 1)
+        if len(first):
+            starts = np.flatnonzero(new)
+            new = (np.arange(len(first)) - np.repeat(starts, np.diff(np.append(starts, len(first))))) % STRING_WINDOWS == 0
         heads = np.flatnonzero(new)
         self.size = np.diff(np.append(heads, len(first)))
         self.mini, at = least[heads], first[heads]
@@ -142,42 +147,21 @@ def count_slots(width: int):
     return run
 
 
-def pack_blocks(width: int, hot: frozenset[int], buckets: int):
-    """Rows (bucket, block): the packed strings of a group of rows for one bucket, compressed."""
+def pack_strings(width: int, hot: frozenset[int]):
+    """Rows (mini, d, rid, word, string): packed strings, each with a line feed behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         hot_slots = np.array(sorted(hot), np.int64)
         for d, rid, p in grouped(batches, width):
-            bucket = (p.mini % np.uint64(buckets)).astype(np.int64)
             use = np.flatnonzero(~np.isin(p.slot, hot_slots))
-            order = use[np.argsort(bucket[use], kind="stable")]
-            edges = np.flatnonzero(np.diff(bucket[order])) + 1
-            out_bucket, blocks = [], []
-            text = p.text
-            for some in np.split(order, edges):
-                if not len(some):
-                    continue
-                docs, nth = np.unique(p.doc[some], return_inverse=True)
-                strings = b"\n".join([text[a:b] for a, b in zip(p.start[some].tolist(), p.end[some].tolist())])
-                blocks.append(squeeze(b"".join([
-                    struct.pack("<II", len(docs), len(some)), d[docs].tobytes(), rid[docs].tobytes(), nth.astype("<u4").tobytes(), p.word[some].astype("<i8").tobytes(), strings])))
-                out_bucket.append(int(bucket[some[0]]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+            strings = [p.text[a:b] + b"\n" for a, b in zip(p.start[use].tolist(), p.end[use].tolist())]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(p.mini[use].view(np.int64)), pa.array(d[p.doc[use]]), pa.array(rid[p.doc[use]]), pa.array(p.word[use].astype(np.int64)),
+                pa.array(strings, pa.binary())], ["mini", "d", "rid", "word", "string"])
 
     return run
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """(d, rid, word, strings) of a block."""
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n, m = struct.unpack_from("<II", raw)
-    at = 8 + 16 * n
-    d, rid = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
-    nth, word = np.frombuffer(raw, "<u4", m, at), np.frombuffer(raw, "<i8", m, at + 4 * m)
-    return d[nth], rid[nth], word, raw[at + 12 * m:]
-
-
 def first_documents(strings: bytes, start: np.ndarray, end: np.ndarray, key: np.ndarray, d: np.ndarray) -> np.ndarray:
     """For each window the smallest ``d`` among windows with the same bytes.
 
@@ -207,11 +191,8 @@ def first_documents(strings: bytes, start: np.ndarray, end: np.ndarray, key: np.
     return out
 
 
-def judge_bucket(blocks: list[bytes], width: int, window_hash: Callable | None = None) -> tuple[np.ndarray, ...]:
-    """Runs (d, rid, start, length) of windows that a smaller document starts too."""
-    parts = [unpack(b) for b in blocks]
-    d, rid, word = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    strings = b"\n".join(p[3] for p in parts)
+def judge_bucket(d: np.ndarray, rid: np.ndarray, word: np.ndarray, strings: bytes, width: int, window_hash: Callable | None = None) -> tuple[np.ndarray, ...]:
+    """Runs (d, rid, start, length) of windows that a smaller document starts too; ``strings`` has a line for each packed string."""
     data = np.frombuffer(strings, np.uint8)
     starts, ends, line = word_edges(data)
     at = windows_of(line, width)
@@ -226,23 +207,32 @@ def judge_bucket(blocks: list[bytes], width: int, window_hash: Callable | None =
     return d[of[heads]], rid[of[heads]], place[heads], length
 
 
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Stretches of sorted rows, cut between minimisers, of about ``BUCKET_BYTES`` or one minimiser."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("string").nbytes
+        if size >= BUCKET_BYTES:
+            rows = pa.Table.from_batches(held)
+            mini = rows["mini"].to_numpy()
+            cut = int(np.searchsorted(mini, mini[-1]))
+            if cut:
+                yield rows.slice(0, cut)
+                held = pa.Table.from_batches(rows.slice(cut).to_batches(), rows.schema).to_batches()
+                size = sum(b.column("string").nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def judge(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        current = None
-
-        def emit():
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in judge_bucket(held, width)], ["d", "rid", "start", "length"])
-
-        for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
-                if bucket != current and held:
-                    yield emit()
-                    held = []
-                current = bucket
-                held.append(block.as_py())
-        if held:
-            yield emit()
+        for rows in buckets(batches):
+            if rows.num_rows:
+                strings = b"".join(rows["string"].to_pylist())[:-1]
+                found = judge_bucket(*(rows[c].to_numpy() for c in ("d", "rid", "word")), strings, width)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], ["d", "rid", "start", "length"])
 
     return run
 
@@ -272,13 +262,13 @@ def repeated_runs(rows: DataFrame, width: int, slots_hot: int = HOT_LEAST) -> Da
     rows = rows.select("d", "rid", "text")
     counts = rows.mapInArrow(count_slots(width), "slot long, strings long, size long").groupBy("slot").agg(F.sum("strings").alias("strings"), F.sum("size").alias("size"))
     table = counts.toPandas()  # at most SLOTS rows
-    mean = table["strings"].sum() / SLOTS
-    hot = frozenset(table.loc[table["strings"] > max(HOT_SHARE * mean, slots_hot), "slot"].astype(int).tolist())
-    buckets = max(1, -(-int(table["size"].sum()) // BUCKET_BYTES))
-    blocks = rows.mapInArrow(pack_blocks(width, hot, buckets), "bucket long, block binary").repartition("bucket").sortWithinPartitions("bucket")
-    runs = blocks.mapInArrow(judge(width), "d long, rid long, start long, length long")
+    few = max(HOT_SHARE * table["strings"].sum() / SLOTS, slots_hot)
+    short = max(HOT_SHARE * table["size"].sum() / SLOTS, HOT_BYTES)
+    hot = frozenset(table.loc[(table["strings"] > few) | (table["size"] > short), "slot"].astype(int).tolist())
+    packed_rows = rows.mapInArrow(pack_strings(width, hot), "mini long, d long, rid long, word long, string binary").repartition("mini").sortWithinPartitions("mini")
+    runs = packed_rows.mapInArrow(judge(width), "d long, rid long, start long, length long")
     if hot:
-        each = rows.mapInArrow(hot_windows(width, hot), "window binary, d long, rid long, start long")
+        each = written(rows.mapInArrow(hot_windows(width, hot), "window binary, d long, rid long, start long"), "hot-windows")
         least = each.groupBy("window").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("window", "least")
         late = salted_join(each, least, ["window"], F.col("rid")).where("d > least").select("d", "rid", "start", F.lit(1).cast("long").alias("length"))
         runs = runs.unionByName(late)
