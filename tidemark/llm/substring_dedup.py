@@ -2,12 +2,13 @@
 
 A window is a run of consecutive words. Each window is dealt by its minimiser,
 the smallest hash among its runs of ``MINI`` words; consecutive windows with
-one minimiser travel as one packed string, a row of its own, so the rows grow
-with the words and with nothing else. Spark deals and sorts them by minimiser. A
-bucket is a stretch of that order, cut between minimisers: there every window is
-cut out again, the windows are sorted by a rolling hash, equal runs are verified
-byte by byte, and each window learns the smallest document that starts it. What
-returns to the documents are runs of window starts.
+one minimiser travel as one packed string. The strings that a group of texts has
+for one shuffle partition share a compressed block. Behind the shuffle they are
+rows again, which Spark sorts by minimiser within the partition (and spills where
+it must). A bucket is a stretch of that order, cut between minimisers: there every
+window is cut out again, the windows are sorted by a rolling hash, equal runs are
+verified byte by byte, and each window learns the smallest document that starts
+it. What returns to the documents are runs of window starts.
 
 A minimiser of a very common phrase would gather a bucket that no task can hold.
 Slots (hash ranges of minimisers) are counted first, by strings and by bytes, and
@@ -18,10 +19,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,21 +150,55 @@ def count_slots(width: int):
     return run
 
 
-def pack_strings(width: int, hot: frozenset[int]):
-    """Rows (mini, d, rid, word, string): packed strings, each with a line feed behind it."""
+def pack_blocks(width: int, hot: frozenset[int], parts: int):
+    """Rows (part, block): the packed strings of a group of texts for one shuffle partition, each with a line feed behind it, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         hot_slots = np.array(sorted(hot), np.int64)
         for d, rid, p in grouped(batches, width):
+            part = (p.mini % np.uint64(parts)).astype(np.int32)
             use = np.flatnonzero(~np.isin(p.slot, hot_slots))
-            strings = [p.text[a:b] + b"\n" for a, b in zip(p.start[use].tolist(), p.end[use].tolist())]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(p.mini[use].view(np.int64)), pa.array(d[p.doc[use]]), pa.array(rid[p.doc[use]]), pa.array(p.word[use].astype(np.int64)),
-                pa.array(strings, pa.binary())], ["mini", "d", "rid", "word", "string"])
+            order = use[np.argsort(part[use], kind="stable")]
+            text, to, blocks = p.text, [], []
+            for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(some):
+                    docs, nth = np.unique(p.doc[some], return_inverse=True)
+                    strings = [text[a:b] for a, b in zip(p.start[some].tolist(), p.end[some].tolist())]
+                    to.append(part[some[0]])
+                    blocks.append(squeeze(b"".join([
+                        struct.pack("<II", len(docs), len(some)), d[docs].tobytes(), rid[docs].tobytes(), p.mini[some].tobytes(), p.word[some].astype("<i8").tobytes(),
+                        nth.astype("<u4").tobytes(), b"\n".join(strings), b"\n"])))
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
     return run
 
 
+def unpack(block: bytes) -> pa.RecordBatch:
+    """The rows (mini, d, rid, word, string) of a block."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    docs, n = struct.unpack_from("<II", raw)
+    at = 8
+
+    def column(kind: str, count: int) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(raw, kind, count, at)
+        at += found.nbytes
+        return found
+
+    d, rid, mini, word, nth = column("<i8", docs), column("<i8", docs), column("<i8", n), column("<i8", n), column("<u4", n)
+    text = raw[at:]
+    edges = np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1]).astype(np.int32)
+    strings = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(text)])
+    return pa.RecordBatch.from_arrays([pa.array(mini), pa.array(d[nth]), pa.array(rid[nth]), pa.array(word), strings], ["mini", "d", "rid", "word", "string"])
+
+
+def unpack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in batch.column("block"):
+            yield unpack(block.as_py())
+
+
 def first_documents(strings: bytes, start: np.ndarray, end: np.ndarray, key: np.ndarray, d: np.ndarray) -> np.ndarray:
     """For each window the smallest ``d`` among windows with the same bytes.
 
@@ -265,8 +302,10 @@ def repeated_runs(rows: DataFrame, width: int, slots_hot: int = HOT_LEAST) -> Da
     few = max(HOT_SHARE * table["strings"].sum() / SLOTS, slots_hot)
     short = max(HOT_SHARE * table["size"].sum() / SLOTS, HOT_BYTES)
     hot = frozenset(table.loc[(table["strings"] > few) | (table["size"] > short), "slot"].astype(int).tolist())
-    packed_rows = rows.mapInArrow(pack_strings(width, hot), "mini long, d long, rid long, word long, string binary").repartition("mini").sortWithinPartitions("mini")
-    runs = packed_rows.mapInArrow(judge(width), "d long, rid long, start long, length long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.mapInArrow(pack_blocks(width, hot, parts), "part int, block binary").repartitionById(parts, "part")
+    strings = blocks.mapInArrow(unpack_all, "mini long, d long, rid long, word long, string binary").sortWithinPartitions("mini")
+    runs = strings.mapInArrow(judge(width), "d long, rid long, start long, length long")
     if hot:
         each = written(rows.mapInArrow(hot_windows(width, hot), "window binary, d long, rid long, start long"), "hot-windows")
         least = each.groupBy("window").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("window", "least")
