@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import packed, restored, salted_join, schema, small_batches, written
-from tidemark.llm.words import in_groups
+from tidemark.llm.words import give_back, in_groups
 from tidemark.session import ship_package
 
 #: Words of a run whose hash can be a minimiser.
@@ -197,6 +197,7 @@ def unpack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in batch.column("block"):
             yield unpack(block.as_py())
+        give_back()
 
 
 def first_documents(strings: bytes, start: np.ndarray, end: np.ndarray, key: np.ndarray, d: np.ndarray) -> np.ndarray:
