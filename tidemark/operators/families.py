@@ -84,12 +84,15 @@ def prepare_history(df: DataFrame, history: str = "history") -> DataFrame:
     })
 
 
-def eps_block(history: Column, sample: Column | None = None) -> dict[str, Column]:
-    """EPS surprise features of the current result against visible history."""
+def eps_block(history: Column | None, sample: Column | None = None, against: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """EPS surprise features of the current result against visible history.
+    ``against`` gives its z-score and mid-rank share where they are known already."""
     reported, consensus = F.col("reported_eps"), F.col("consensus_eps")
     known = reported.isNotNull() & consensus.isNotNull()
     delta, pct = reported - consensus, ratio(reported, consensus, fv.EPS_FLOOR)
-    sample = present(history, eps_surprise) if sample is None else sample
+    if against is None:
+        sample = present(history, eps_surprise) if sample is None else sample
+        against = zscore(pct, sample), midrank_share(pct, sample)
 
     def when_known(c: Column) -> Column:
         return F.when(known, c).otherwise(0.0)
@@ -98,8 +101,8 @@ def eps_block(history: Column, sample: Column | None = None) -> dict[str, Column
         "reported_eps": when_known(reported), "consensus_eps": when_known(consensus),
         "eps_surprise_absolute": when_known(delta), "eps_surprise_percent": when_known(pct),
         "eps_surprise_signed": when_known(F.abs(pct) * F.signum(delta)), "eps_surprise_abs": when_known(F.abs(pct)),
-        "eps_surprise_zscore_company": when_known(zscore(pct, sample)),
-        "eps_surprise_percentile_company": when_known(midrank_share(pct, sample)),
+        "eps_surprise_zscore_company": when_known(against[0]),
+        "eps_surprise_percentile_company": when_known(against[1]),
         "is_eps_beat": flag(known & (delta > 0)), "is_eps_miss": flag(known & (delta < 0)),
         "is_large_eps_beat": flag(known & (pct >= fv.LARGE_SURPRISE)),
         "is_large_eps_miss": flag(known & (pct <= -fv.LARGE_SURPRISE)),
@@ -107,13 +110,15 @@ def eps_block(history: Column, sample: Column | None = None) -> dict[str, Column
     }
 
 
-def revenue_block(history: Column, sample: Column | None = None) -> dict[str, Column]:
-    """Revenue surprise features and the four EPS x revenue combinations."""
+def revenue_block(history: Column | None, sample: Column | None = None, against: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """Revenue surprise features and the four EPS x revenue combinations; ``against`` as in :func:`eps_block`."""
     reported, consensus = F.col("reported_revenue"), F.col("consensus_revenue")
     known = reported.isNotNull() & consensus.isNotNull()
     delta, pct = reported - consensus, ratio(reported, consensus, fv.REVENUE_FLOOR)
     eps = F.col("reported_eps") - F.col("consensus_eps")
-    sample = present(history, revenue_surprise) if sample is None else sample
+    if against is None:
+        sample = present(history, revenue_surprise) if sample is None else sample
+        against = zscore(pct, sample), midrank_share(pct, sample)
 
     def when_known(c: Column) -> Column:
         return F.when(known, c).otherwise(0.0)
@@ -121,8 +126,8 @@ def revenue_block(history: Column, sample: Column | None = None) -> dict[str, Co
     return {
         "reported_revenue": when_known(reported), "consensus_revenue": when_known(consensus),
         "revenue_surprise_absolute": when_known(delta), "revenue_surprise_percent": when_known(pct),
-        "revenue_surprise_zscore_company": when_known(zscore(pct, sample)),
-        "revenue_surprise_percentile_company": when_known(midrank_share(pct, sample)),
+        "revenue_surprise_zscore_company": when_known(against[0]),
+        "revenue_surprise_percentile_company": when_known(against[1]),
         "is_revenue_beat": flag(known & (delta > 0)), "is_revenue_miss": flag(known & (delta < 0)),
         "has_revenue_surprise": flag(known),
         "eps_beat_and_revenue_beat": flag(known & (eps > 0) & (delta > 0)),

@@ -15,6 +15,7 @@ from tidemark.operators.scan import largest_group
 from tidemark.plans.bindings import BARS_SQL, FOCAL_SQL, TRADED_SQL, bars, focal, traded
 from tidemark.plans.catalog import query, r6
 from tidemark.plans.evaluation import SUR_SQL, labelled
+from tidemark.plans.history import archive_history
 from tidemark.session import table
 
 
@@ -184,7 +185,10 @@ def cached_history(spark, d, limit: int = 40) -> DataFrame:
         "abnormal_return", F.when(pit.reaction_available(r["abnormal_return"], reaction_at(r), F.col("cutoff")), r["abnormal_return"]))))
 
 
-HIST_SQL = FOCAL_SQL + """, hist AS (
+def history_sql(limit: int | None = None) -> str:
+    """Visible earlier records of every event; ``limit`` keeps the last ones, as the live cache does."""
+    last = f"QUALIFY back <= {limit}" if limit else ""
+    return FOCAL_SQL + f""", hist AS (
   SELECT e.event_id, p.event_id AS record_id, p.cutoff AS value_timestamp, p.reported_eps AS h_re, p.consensus_eps AS h_ce,
     p.reported_revenue AS h_rr, p.consensus_revenue AS h_cr,
     CASE WHEN p.cutoff + INTERVAL 2 DAY < e.cutoff THEN p.car1 END AS y,
@@ -193,12 +197,15 @@ HIST_SQL = FOCAL_SQL + """, hist AS (
     row_number() OVER (PARTITION BY e.event_id ORDER BY p.cutoff DESC, p.reported_eps DESC NULLS LAST, p.consensus_eps DESC NULLS LAST,
       p.reported_revenue DESC NULLS LAST, p.consensus_revenue DESC NULLS LAST) AS back
   FROM focal e JOIN focal p ON p.ticker = e.ticker AND p.cutoff + INTERVAL 1 DAY < e.cutoff
-  QUALIFY back <= 40),
+  {last}),
 cur AS (SELECT *, (reported_eps - consensus_eps) / greatest(abs(consensus_eps), 0.05) AS ce,
    (reported_revenue - consensus_revenue) / greatest(abs(consensus_revenue), 1.0) AS cr FROM focal)"""
 
 
-@query("c14_reaction_gating", f"""WITH {HIST_SQL}
+HIST_SQL = history_sql()
+
+
+@query("c14_reaction_gating", f"""WITH {history_sql(40)}
 SELECT event_id, count(*) AS records, count(y) AS usable_reactions, round(sum(y), 6) + 0.0 AS reaction_sum FROM hist GROUP BY event_id""")
 def c14(spark, d):
     h = F.col("history")
@@ -218,10 +225,7 @@ SELECT e.event_id, {', '.join(f'round(coalesce({x}, 0), 6) + 0.0 AS {n}' for x,
     ('avg(hs_r)', 'mean_prior_revenue_surprise'), ('CASE WHEN count(hs_r) >= 2 THEN stddev_pop(hs_r) END', 'std_prior_revenue_surprise')))}
 FROM focal e LEFT JOIN hist h USING (event_id) GROUP BY e.event_id""")
 def d01(spark, d):
-    null = F.lit(None).cast("double")
-    block = fam.history_block(F.col("history"), null, null, prepared=True)
-    names = fv.HISTORY_FEATURES[:10]
-    return fam.prepare_history(cached_history(spark, d)).select("event_id", *[block[n].alias(n) for n in names])
+    return archive_history(focal(spark, d)).select("event_id", *fv.HISTORY_FEATURES[:10])
 
 
 @query("d02_conditional_reactions", f"""WITH {HIST_SQL}, prior AS (SELECT CAST(0.01 AS DOUBLE) AS p)
@@ -232,10 +236,7 @@ SELECT e.event_id, {', '.join(f'round(coalesce(avg(y) FILTER (WHERE {c}), 0), 6)
     / (count(y) FILTER (WHERE hs_e > 0 AND hs_r > 0) + 5) ELSE 0.01 END, 6) + 0.0 AS mean_reaction_after_double_beat
 FROM focal e LEFT JOIN hist h USING (event_id) GROUP BY e.event_id""")
 def d02(spark, d):
-    none = F.lit(None).cast("double")
-    block = fam.history_block(F.col("history"), none, none, priors={"double_beat": F.lit(0.01)})
-    return cached_history(spark, d).select(
-        "event_id", *[block[n].alias(n) for n, _ in fam.REACTION_GROUPS.values()])
+    return archive_history(focal(spark, d), {"double_beat": F.lit(0.01)}).select("event_id", *[n for n, _ in fam.REACTION_GROUPS.values()])
 
 
 D03_SQL = f"""WITH {HIST_SQL}, j AS (SELECT c.*, h.hs_e, h.hs_r FROM cur c LEFT JOIN hist h USING (event_id)),
@@ -253,8 +254,9 @@ SELECT event_id, """ + ", ".join(f"round(CASE WHEN pct IS NULL THEN 0 ELSE {x} E
 
 @query("d03_eps_surprise", D03_SQL)
 def d03(spark, d):
-    block = fam.eps_block(F.col("history"), F.col("__eps"))
-    return fam.prepare_history(cached_history(spark, d)).select("event_id", *[block[n].alias(n) for n in fv.EPS_FEATURES])
+    f = focal(spark, d)
+    block = fam.eps_block(None, against=(F.col("eps_z"), F.col("eps_share")))
+    return f.join(archive_history(f), "event_id").select("event_id", *[block[n].alias(n) for n in fv.EPS_FEATURES])
 
 
 D04_SQL = f"""WITH {HIST_SQL}, j AS (SELECT c.*, h.hs_e, h.hs_r FROM cur c LEFT JOIN hist h USING (event_id)),
@@ -274,8 +276,9 @@ SELECT event_id, """ + ", ".join(f"round(CASE WHEN pct IS NULL THEN 0 ELSE {x} E
 
 @query("d04_revenue_surprise", D04_SQL)
 def d04(spark, d):
-    block = fam.revenue_block(F.col("history"), F.col("__revenue"))
-    return fam.prepare_history(cached_history(spark, d)).select("event_id", *[block[n].alias(n) for n in fv.REVENUE_FEATURES])
+    f = focal(spark, d)
+    block = fam.revenue_block(None, against=(F.col("revenue_z"), F.col("revenue_share")))
+    return f.join(archive_history(f), "event_id").select("event_id", *[block[n].alias(n) for n in fv.REVENUE_FEATURES])
 
 
 def _near_sql(name, dist):
@@ -290,11 +293,7 @@ SELECT event_id, round(coalesce(ne.m, 0), 6) + 0.0 AS similar_eps_surprise_mean_
   CAST(coalesce(nb.k, greatest(coalesce(ne.k, 0), coalesce(nr.k, 0))) AS DOUBLE) AS similar_event_count
 FROM cur LEFT JOIN ne USING (event_id) LEFT JOIN nr USING (event_id) LEFT JOIN nb USING (event_id)""")
 def e10(spark, d):
-    f = cached_history(spark, d)
-    eps = pit.ratio(F.col("reported_eps"), F.col("consensus_eps"), fv.EPS_FLOOR)
-    rev = pit.ratio(F.col("reported_revenue"), F.col("consensus_revenue"), fv.REVENUE_FLOOR)
-    block = fam.history_block(F.col("history"), eps, rev)
-    return f.select("event_id", *[block[n].alias(n) for n in fv.HISTORY_FEATURES[16:20]])
+    return archive_history(focal(spark, d)).select("event_id", *fv.HISTORY_FEATURES[16:20])
 
 
 @query("e15_latest_n_before_cutoff", f"""WITH {TRADED_SQL}, {BARS_SQL}, p AS (
