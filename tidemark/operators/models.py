@@ -150,23 +150,23 @@ def fit_ridge(m: Moments, alpha: float) -> LinearModel:
 
 
 def _descend(r: np.ndarray, q: np.ndarray, l1: float, l2: float, low: np.ndarray, high: np.ndarray,
-             rounds: int = 20000, tolerance: float = 1e-12) -> np.ndarray:
-    """Coordinate descent on a small quadratic with soft threshold and bounds."""
-    w = np.zeros(len(q))
-    grad = -q.copy()
+             rounds: int = 3000, tolerance: float = 1e-13) -> np.ndarray:
+    """Accelerated proximal descent on a small quadratic with soft threshold and bounds.
+
+    Whole-vector steps, as a sweep solves hundreds of these; the momentum starts
+    anew where it points uphill. With more columns than rows the last digits of
+    flat directions would take far longer: it ends after ``rounds``."""
+    step = 1.0 / (np.linalg.eigvalsh(r)[-1] + l2) if len(q) else 1.0
+    w = ahead = np.zeros(len(q))
+    pace = 1.0
     for _ in range(rounds):
-        worst = 0.0
-        for j in range(len(q)):
-            if r[j, j] <= fv.NEGLIGIBLE and l2 <= 0:
-                continue
-            rho = r[j, j] * w[j] - grad[j]
-            step = np.sign(rho) * max(abs(rho) - l1, 0.0) / (r[j, j] + l2)
-            new = min(max(step, low[j]), high[j])
-            if new != w[j]:
-                grad += r[:, j] * (new - w[j])
-                worst = max(worst, abs(new - w[j]))
-                w[j] = new
-        if worst < tolerance:
+        new = ahead - step * (r @ ahead + l2 * ahead - q)
+        new = np.clip(np.sign(new) * np.maximum(np.abs(new) - step * l1, 0.0), low, high)
+        move = new - w
+        pace = 1.0 if (ahead - new) @ move > 0 else pace
+        faster = (1.0 + (1.0 + 4.0 * pace * pace) ** 0.5) / 2.0
+        ahead, w, pace = new + (pace - 1.0) / faster * move, new, faster
+        if np.abs(move).max(initial=0.0) < tolerance:
             break
     return w
 

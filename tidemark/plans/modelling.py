@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fv
 from tidemark.functions import python_text as pt
 from tidemark.functions import text as tx
+from tidemark.operators import audit as au
 from tidemark.operators import explain as ex
 from tidemark.operators import families as fam
 from tidemark.operators import gates as gt
@@ -19,7 +20,8 @@ from tidemark.operators.scan import quantile_from_ranks, rank_stats
 from tidemark.plans.bindings import FOCAL_SQL, focal
 from tidemark.plans.catalog import query, r6
 from tidemark.plans.evaluation import LABELLED_SQL, ROLES, SUR_SQL, labelled
-from tidemark.plans.training import FULL_ABLATIONS, LITE_ABLATIONS, LIVE_SETS, Sweep, run_sweep
+from tidemark.plans.assembly import training_rows
+from tidemark.plans.training import FEATURE_SETS, Sweep, run_sweep
 from tidemark.session import scratch_path, ship_package, table, with_one_row
 from tidemark.sources import sinks as sk
 
@@ -80,9 +82,10 @@ def k06(spark, d):
 @query("k07_boosted_trees")
 def k07(spark, d):
     """The non-linear candidate; comparable with, not equal to, other libraries."""
-    rows = training_rows(spark, d)
+    rows = role_rows(spark, d)
     train = rows.where(F.col("role") == "train")
-    model = md.fit_boosted_trees(train, NUMBERS, "target_percentile")
+    names = [n for n in fv.FEATURES if n in set(au.varying(train, fv.FEATURES))]
+    model = md.fit_boosted_trees(train, names, "target_percentile")
     held = model.transform(rows.where(F.col("role") == "validation")).withColumn(
         "score", F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("tree_score"))))
     return m.metric_set(held, "score", "target_percentile").select("n", "pearson", "spearman", "mae", "rmse")
@@ -100,42 +103,26 @@ def k08(spark, d):
 # --------------------------------------------------------------------------
 # training rows and the sweep
 # --------------------------------------------------------------------------
-NUMBERS = ["eps_surprise_percent", "has_eps_surprise", "revenue_surprise_percent", "has_revenue_surprise", "is_eps_beat", "is_revenue_beat",
-           "eps_beat_and_revenue_beat", "fls_ratio", "signed_forward_tone", "guidance_direction", "reasoning_overall_event_signal",
-           "reasoning_earnings_quality", "prior_earnings_count", "has_reasoning"]
+#: Sweeps by application and folder: five queries read one sweep.
+_SWEEPS: dict[tuple[str, str], Sweep] = {}
 
 
-def training_rows(spark, d) -> DataFrame:
-    """Labelled events with a compact set of frozen features and their role."""
-    none = F.array().cast("array<struct<reported_eps:double,consensus_eps:double,reported_revenue:double,consensus_revenue:double>>")
-    lab = rk.percentile_rank(labelled(spark, d), "earnings_surprise", ["quarter"], "surprise_percentile")
-    eps, rev = fam.eps_block(none), fam.revenue_block(none)
-    k = F.col("event_id")
-    built = lab.withColumns({**{n: eps[n] for n in ("eps_surprise_percent", "has_eps_surprise", "is_eps_beat")},
-                             **{n: rev[n] for n in ("revenue_surprise_percent", "has_revenue_surprise", "is_revenue_beat", "eps_beat_and_revenue_beat")}})
-    built = built.withColumns({
-        "fls_ratio": (k % 10) / 10.0, "signed_forward_tone": (k % 3 - 1).cast("double"), "guidance_direction": (k % 5 % 3 - 1).cast("double"),
-        "reasoning_earnings_quality": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 8.0 * F.col("eps_surprise_percent"))),
-        "prior_earnings_count": (F.col("ticker") % 12).cast("double"), "has_reasoning": fam.flag(k % 4 != 0),
-        "reasoning_overall_event_signal": 0.2 * F.col("is_eps_beat") + 0.1 * F.col("is_revenue_beat") + (F.col("realized") - 0.5) * 0.1})
-    return built.select("event_id", "ticker", "quarter", rk.quarter_role(F.col("quarter"), ROLES).alias("role"),
-                        F.col("realized").alias("target_percentile"), "surprise_percentile", F.lit(0).alias("leakage_violations"), *NUMBERS)
-
+def role_rows(spark, d) -> DataFrame:
+    """The enriched rows of the quarters that play a role."""
+    return training_rows(spark, d).withColumn("role", rk.quarter_role(F.col("quarter"), ROLES)).where(F.col("role").isNotNull())
 
-def small_sets(sets: dict) -> dict:
-    """The named feature sets limited to the columns this binding has."""
-    cut = {k: tuple(n for n in v if n in NUMBERS) for k, v in sets.items()}
-    return {k: v for k, v in cut.items() if v}
 
+def sweep(spark, d) -> Sweep:
+    """All 36 feature sets with every linear candidate, on the enriched rows."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _SWEEPS:
+        _SWEEPS[key] = run_sweep(role_rows(spark, d), FEATURE_SETS, baseline="lite:v1_fls_only", constrained=(1.0, 10.0))
+    return _SWEEPS[key]
 
-def sweep(spark, d, constrained=()) -> Sweep:
-    return run_sweep(training_rows(spark, d), small_sets(LITE_ABLATIONS | LIVE_SETS), baseline="v1_fls_only", constrained=constrained)
 
-
-@query("b19_feature_sets", f"""WITH {FOCAL_SQL} SELECT name, CAST(width AS BIGINT) AS width, rows FROM (VALUES {', '.join(f"('{k}', {len(v)})" for k, v in (FULL_ABLATIONS | LITE_ABLATIONS | LIVE_SETS).items())}) v(name, width), (SELECT count(*) AS rows FROM focal)""")
+@query("b19_feature_sets", f"""WITH {FOCAL_SQL} SELECT name, CAST(width AS BIGINT) AS width, rows FROM (VALUES {', '.join(f"('{k}', {len(v)})" for k, v in FEATURE_SETS.items())}) v(name, width), (SELECT count(*) AS rows FROM focal)""")
 def b19(spark, d):
-    sets = {**FULL_ABLATIONS, **LITE_ABLATIONS, **LIVE_SETS}
-    pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(len(v)).cast("bigint").alias("width")) for k, v in sets.items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(len(v)).cast("bigint").alias("width")) for k, v in FEATURE_SETS.items()])
     return focal(spark, d).agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(pairs).alias("p")).select("p.*", "rows")
 
 
@@ -237,15 +224,16 @@ def k13(spark, d):
 @query("k14_candidate_builder")
 def k14(spark, d):
     """Candidates that beat the text-only baseline, best first, with their gate."""
-    done = sweep(spark, d, constrained=(1.0, 10.0))
+    done = sweep(spark, d)
     return done.builder(scenario_rows(spark))
 
 
 @query("k18_scenario_report")
 def k18(spark, d):
     """A text-only ridge on the production scenarios, affinely calibrated."""
-    rows = training_rows(spark, d).where(F.col("role") == "train")
-    fit = md.fit_ridge(md.moments(rows, ["fls_ratio", "signed_forward_tone", "guidance_direction"], "target_percentile"), 10.0)
+    rows = role_rows(spark, d).where(F.col("role") == "train")
+    seen = md.moments(rows, fv.FLS_FEATURES, "target_percentile")
+    fit = md.fit_ridge(seen.slice([n for n in fv.FLS_FEATURES if n in set(seen.varying())]), 10.0)
     s = scenario_rows(spark, fv.PRODUCTION_SCENARIOS).withColumn("raw", fit.score()).withColumn(
         "final", rk.affine(F.col("raw"), **fv.AFFINE_CALIBRATION))
     return s.select("label", "raw", "final", F.array_join(F.transform(
