@@ -2,6 +2,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -265,6 +266,16 @@ def test_packing(docs):
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 1024) + 1
 
 
+def test_added_tokens_are_those_of_the_unmodified_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext |>", "plain", "", "é<|endoftext|>\u4e2d"]
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert packing.tokenizer(path, public_tokenizers.PATTERN)(texts) == want == packing.tokenizer(path, None)(texts)
+    assert (50256).to_bytes(4, "little") in want[0]
+
+
 def test_layout_uses_every_piece_once():
     bins = np.random.default_rng(2).integers(0, 400, 1025)
     bins[0] = 0
@@ -333,6 +344,57 @@ def test_lm_trains_on_every_token(spark):
         assert sorted(np.concatenate([lm_scoring.targets(at, of, r, rounds) for r in range(rounds)]).tolist()) == at.tolist()
 
 
+def test_one_step_of_the_network():
+    """Against a loop over tokens and places."""
+    rng = np.random.default_rng(3)
+    ids, at, _ = lm_scoring.laid_out([rng.integers(0, lm_scoring.VOCABULARY, 40) % 70, rng.integers(0, 9, 7)])
+    flat = lm_scoring.first_weights(np.ones(lm_scoring.VOCABULARY))
+    net, old, dh = lm_scoring.Network(flat), lm_scoring.Network(flat), np.zeros((len(at), lm_scoring.HIDDEN))
+    more_b2, more_tables = np.zeros_like(old.b2, float), np.zeros_like(old.tables, float)
+    groups = ids[at] // lm_scoring.SIDE
+    scale = 0.5 / np.sqrt(len(at))
+    for i, place in enumerate(at):
+        h = np.tanh(sum(old.tables[k][ids[place + p]] for k, p in enumerate(lm_scoring.PLACES)))
+        c, m = divmod(int(ids[place]), lm_scoring.SIDE)
+        g = np.tanh(h + old.c[c])
+        e1, e2 = np.exp(h @ old.w1 + old.b1), np.exp(g @ old.w2 + old.b2[c])
+        d1, d2 = -e1 / e1.sum(), -e2 / e2.sum()
+        d1[c] += 1
+        d2[m] += 1
+        dh[i] = (d1 @ old.w1.T + (d2 @ old.w2.T) * (1 - g * g)) * (1 - h * h)
+        more_b2[c] += scale * d2 / np.sqrt((groups == c).sum())
+    for k, p in enumerate(lm_scoring.PLACES):
+        for i, place in enumerate(at):
+            more_tables[k][ids[place + p]] += scale * dh[i] / np.sqrt((ids[at + p] == ids[place + p]).sum())
+    net.step(ids, at, 0.5)
+    assert np.allclose(net.b2, old.b2 + more_b2, atol=1e-5) and np.allclose(net.tables, old.tables + more_tables, atol=1e-5)
+
+
+def test_lm_encodes_rows_as_words_of_does(spark):
+    """Blanks of all kinds, capitals, odd characters, null ids and texts, repeated rows, a text longer than a group."""
+    texts = ["A b\tB\n\x0bc\x0c\rÄ ä", None, "", " \n ", "b b \u4e2d\x00 x", "long word " * 300_000, "b b \u4e2d\x00 x"]
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = {bytes(r["word"]): r["n"] for r in lm_scoring.words_table(docs).collect()}
+    want = Counter(w for t in texts for w in lm_scoring.words_of(t or ""))
+    assert counts == want
+    head = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:3]
+    vocabulary = lm_scoring.Vocabulary([w for w, _ in head], [n for _, n in head], np.ones(lm_scoring.RARE))
+    got = lm_scoring.encoded(lm_scoring.slim(docs, "doc_id", "text"), vocabulary).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        words = lm_scoring.words_of(texts[r["doc_id"] or 0] or "")
+        assert np.frombuffer(r["ids"], "<u2").tolist() == vocabulary.ids(words).tolist() and r["n_tokens"] == len(words)
+        assert {bytes(w): n for w, n in zip(r["rest"], r["times"])} == Counter(w for w in words if w not in vocabulary.place)
+
+
+@pytest.mark.parametrize("head", [1, 3, 5, 40])
+def test_lm_head_of_words(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    rows = [(f"w{i}".encode(), n) for i, n in enumerate([1, 1, 1, 7, 7, 900, 5, 1, 10**12, 8, 7])]
+    got = lm_scoring.head_of(spark.createDataFrame(rows, "word binary, n long")).collect()
+    assert sorted((-r["n"], bytes(r["word"])) for r in got) == sorted((-n, w) for w, n in rows)[:head]
+
+
 @pytest.mark.parametrize("head", [lm_scoring.HEAD, lm_scoring.WORDS])
 def test_lm_scores_words_within_buckets(spark, monkeypatch, head):
     """Two real words and a made-up one of one bucket differ by the log of their counts; shares of a bucket add up to one."""

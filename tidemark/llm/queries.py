@@ -62,9 +62,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_lm_scoring")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    words = lm_scoring.words_table(docs)
-    return lm_scoring.score(docs, lm_scoring.learn(docs, words=words), words=words)
+    return lm_scoring.learn_and_score(table(spark, sf_dir, "documents"))
 
 
 @query("op6_byte_bpe")
