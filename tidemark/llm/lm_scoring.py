@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ ROUNDS, BATCH, RATE = 2, 2048, 0.08
 PIECE, DEAL = 4096, 8
 #: Bytes of text, or of ids, that are worked on at once.
 GROUP = 2_000_000
+#: Rows of a matrix product that the linear algebra library does in one thread: a task has one core.
+ROWS = 256
 #: Counts fall into this many steps for each factor of e when the head of the words is sought.
 STEPS = 20
 
@@ -91,7 +94,7 @@ class Vocabulary:
     not hold have, together, the share of one more occurrence in their bucket."""
 
     def __init__(self, words: list[bytes], times: list[int], rare: np.ndarray):
-        self.place = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.large_binary())
         self.token = np.array([i if i < WORDS else bucket(w) for i, w in enumerate(words)], np.int64)
         self.log_rare = np.log(rare + 1.0)
         self.log_share = np.zeros(len(words))
@@ -100,15 +103,14 @@ class Vocabulary:
     def ids(self, words: list[bytes]) -> np.ndarray:
         return self.looked_up(words)[0]
 
-    def looked_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def looked_up(self, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids; log of each word's share of its token (0 for a word of its own, unset beyond the head); which words lie beyond the head."""
-        get = self.place.get
-        place = np.array([get(w, -1) for w in words], np.int64)
+        place = pc.index_in(pa.array(words, pa.large_binary()) if isinstance(words, list) else words, self.words).fill_null(-1).to_numpy().astype(np.int64)
         beyond = np.flatnonzero(place < 0)
         found, share = np.zeros(len(words), np.int64), np.zeros(len(words))
         known = place >= 0
         found[known], share[known] = self.token[place[known]], self.log_share[place[known]]
-        found[beyond] = [bucket(words[i]) for i in beyond.tolist()]
+        found[beyond] = [bucket(words[i]) for i in beyond.tolist()] if isinstance(words, list) else [bucket(w) for w in words.take(pa.array(beyond)).to_pylist()]
         return found, share, beyond
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,6 +153,20 @@ def first_weights(counts: np.ndarray, seed: int = 5) -> np.ndarray:
     return np.concatenate([x.ravel() for x in (tables, w1, b1, c, w2, b2)]).astype(np.float32)
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` by ROWS rows at a time."""
+    n = len(a) // ROWS * ROWS
+    whole = (a[:n].reshape(n // ROWS, ROWS, a.shape[1]) @ b).reshape(n, b.shape[1])
+    return whole if n == len(a) else np.concatenate([whole, a[n:] @ b])
+
+
+def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b`` by ROWS rows at a time."""
+    n = len(a) // ROWS * ROWS
+    whole = (a[:n].reshape(n // ROWS, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(n // ROWS, ROWS, b.shape[1])).sum(axis=0)
+    return whole if n == len(a) else whole + a[n:].T @ b[n:]
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(axis=1, keepdims=True))
     x /= x.sum(axis=1, keepdims=True)
@@ -177,7 +193,7 @@ class Network:
         h = np.tanh(sum(rows[i] for i in around))
         group, member = ids[at] // SIDE, ids[at] % SIDE
         g = np.tanh(h + self.c[group])
-        return around, h, g, group, member, h @ self.w1 + self.b1, g @ self.w2 + self.b2[group]
+        return around, h, g, group, member, times(h, self.w1) + self.b1, times(g, self.w2) + self.b2[group]
 
     def log_probability(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = [np.zeros(0, np.float32)]
@@ -193,16 +209,16 @@ class Network:
         d1, d2 = -softmax(first), -softmax(second)
         d1[rows, group] += 1
         d2[rows, member] += 1
-        dg = (d2 @ self.w2.T) * (1 - g * g)
-        dh = (d1 @ self.w1.T + dg) * (1 - h * h)
-        self.w1 += scale * (h.T @ d1) * np.float32(0.05)
-        self.w2 += scale * (g.T @ d2) * np.float32(0.05)
+        dg = times(d2, self.w2.T) * (1 - g * g)
+        dh = (times(d1, self.w1.T) + dg) * (1 - h * h)
+        self.w1 += scale * crossed(h, d1) * np.float32(0.05)
+        self.w2 += scale * crossed(g, d2) * np.float32(0.05)
         self.b1 += scale * d1.sum(axis=0) * np.float32(0.02)
         one = np.zeros((len(at), SIDE), np.float32)
         one[rows, group] = 1
         damped = scale * one / np.sqrt(np.maximum(one.sum(axis=0), 1))
-        self.b2 += damped.T @ d2
-        self.c += damped.T @ dg
+        self.b2 += crossed(damped, d2)
+        self.c += crossed(damped, dg)
         added(self.tables.reshape(-1, HIDDEN), around, dh, scale)
 
 
@@ -250,7 +266,7 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in in_groups(batches, "text", GROUP):
             t = tokens_of(texts)
-            token, log_share, beyond = shared.value.looked_up(t.words.to_pylist())
+            token, log_share, beyond = shared.value.looked_up(t.words)
             n = np.bincount(t.doc, minlength=len(texts))
             share = np.bincount(t.doc, log_share[t.code], len(texts)).astype(float)  # whole numbers if there is no token
             ends = np.concatenate([[0], np.cumsum(n)])
