@@ -43,6 +43,8 @@ FILTER_BLOCKS = 1 << 20
 WORD_SHARE, MOST_SPLIT = 1_000_000, 1 << 16
 #: Suffixes that a task should hold, and the most tasks; a prefix is extended beyond a quarter of a task's share.
 TASK_SUFFIXES, MOST_TASKS = 1_000_000, 1 << 16
+#: Parts of phrases with more than this share of all words are broadcast: fewer than so many of each length.
+HOT_PARTS = 1024
 #: Prefixes with fewer suffixes are never extended.
 LEAST_BUDGET = 1_000
 
@@ -377,6 +379,23 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return out
 
 
+def with_part_counts(cuts: DataFrame, parts: DataFrame, whole: int, column: str, count: str) -> DataFrame:
+    """``cuts`` with the count of the part in ``column``.
+
+    A part occurs at least ``a`` times for each phrase that it begins (or ends), so
+    only frequent parts can be hot keys. Of one length fewer than HOT_PARTS parts have
+    more than a HOT_PARTS-th of all words: these are broadcast. Their cuts go through
+    the join of the others under keys of their own, which match nothing.
+    """
+    often = F.broadcast(parts.where(F.col("f") * HOT_PARTS > whole).select("lang", F.col("phrase").alias(column), F.col("f").alias(count)))
+    cuts = cuts.join(often, ["lang", column], "left")
+    own = F.concat_ws(SEP, F.lit(""), "phrase", "k")  # no phrase begins with the separator
+    cuts = cuts.withColumn("__part", F.when(F.col(count).isNull(), F.col(column)).otherwise(own))
+    rest = parts.where(F.col("f") * HOT_PARTS <= whole).select("lang", F.col("phrase").alias("__part"), F.col("f").alias("__f"))
+    cuts = cuts.join(rest, ["lang", "__part"], "left")
+    return cuts.withColumn(count, F.coalesce(count, "__f")).drop("__part", "__f")
+
+
 def plain(phrase: Column) -> Column:
     """A phrase with its words joined by one space, as they were."""
     joined = F.translate(phrase, SEP, " ")
@@ -409,8 +428,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     cuts = cuts.withColumns({"head": prefix("phrase", F.col("k")), "rest": prefix("phrase", F.col("k") - F.col("d"))})
     parts = phrases.where(F.col("d") < depth)
     by = F.struct("phrase", "k")
-    cuts = salted_join(cuts, parts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"], by)
-    cuts = salted_join(cuts, parts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"], by)
+    whole = totals.agg(F.sum("n")).first()[0] or 0
+    cuts = with_part_counts(cuts, parts, whole, "head", "l")
+    cuts = with_part_counts(cuts, parts, whole, "rest", "r")
     cuts = salted_join(cuts, totals, ["lang"], by)
     score = F.expr("(cast(1000 as decimal(4,0)) * (cast(a as decimal(19,0)) * cast(n as decimal(19,0)))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
