@@ -72,9 +72,57 @@ def availability_violations(records: dict[str, DataFrame], cutoff: str = "cutoff
     return out
 
 
-def unknown_sources(used: Column, selected: Column) -> Column:
-    """Source ids a reasoning row cites without having been selected."""
-    return F.array_except(used, selected)
+def context_audit(events: DataFrame, records: dict[str, DataFrame], reasoned: dict[str, DataFrame] | None = None,
+                  reasoning: DataFrame | None = None, cited: DataFrame | None = None) -> DataFrame:
+    """(event_id, family, checked, violations) for every record of every event.
+
+    ``events`` has one row (event_id, cutoff) each. ``records`` have (event_id,
+    available_at, value_timestamp) and, if published, published_at: each time must be
+    known and not after the cutoff of the event, not of the record. ``reasoned`` news
+    have (event_id, source_id, available_at, published_at). ``reasoning`` has (event_id,
+    reasoning_cutoff), which must be the event's cutoff; ``cited`` has (event_id,
+    source_id), each of which must be a reasoned article of that event (family
+    ``reasoning_sources``). Repeated rows of records count as often as they occur, a
+    repeated citation once; rows of events that are not audited are left out, an event
+    without a cutoff breaks every rule. All families go through one join on the event.
+    """
+    parts = []
+
+    def add(family: str, df: DataFrame, at: Sequence[str]) -> None:
+        parts.append(df.select("event_id", F.lit(family).alias("family"), F.array(*at).alias("times"), F.lit(None).cast("timestamp").alias("same")))
+
+    for family, df in records.items():
+        add(family, df, [c for c in ("available_at", "value_timestamp", "published_at") if c in df.columns])
+    for family, df in (reasoned or {}).items():
+        add(family, df, ["available_at", "published_at"])
+    if reasoning is not None:
+        parts.append(reasoning.select("event_id", F.lit("event_reasoning").alias("family"), F.array("reasoning_cutoff").alias("times"), F.col("reasoning_cutoff").alias("same")))
+    cutoff = F.col("__cutoff")
+    late = F.exists("times", lambda t: F.coalesce(t > cutoff, F.lit(True)))
+    moved = F.col("same").isNotNull() & ~F.col("same").eqNullSafe(cutoff)
+    at = events.select("event_id", F.col("cutoff").alias("__cutoff"))
+    out = _stacked(parts).join(at, "event_id").groupBy("event_id", "family").agg(
+        F.count(F.lit(1)).alias("checked"), F.count(F.when(late | moved, 1)).alias("violations"))
+    if cited is None:
+        return out
+    known = _stacked([df.select("event_id", "source_id") for df in (reasoned or {}).values()] or [cited.select("event_id", "source_id").limit(0)])
+    known = known.where(F.col("source_id") != "").distinct().withColumn("__known", F.lit(True))
+    used = cited.select("event_id", "source_id").dropna().distinct().join(known, ["event_id", "source_id"], "left")
+    sources = used.join(at, "event_id", "left_semi").groupBy("event_id").agg(
+        F.lit("reasoning_sources").alias("family"), F.count(F.lit(1)).alias("checked"), F.count(F.when(F.col("__known").isNull(), 1)).alias("violations"))
+    return out.unionByName(sources)
+
+
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def leakage_violations(audit: DataFrame) -> DataFrame:
+    """(event_id, leakage_violations): what :func:`row_problems` reads."""
+    return audit.groupBy("event_id").agg(F.sum("violations").alias("leakage_violations"))
 
 
 def coverage(flags: dict[str, str] = fv.AVAILABILITY_FLAGS) -> list[Column]:
