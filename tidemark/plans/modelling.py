@@ -318,13 +318,34 @@ def k17(spark, d):
         F.avg(F.least(F.lit(1.0), 2.0 * F.abs(submitted - 0.5))).alias("mean_extremeness"))
 
 
-@query("k21_training_pairs", f"""WITH {LABELLED_SQL}, t AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_facts, CAST(length(text) AS BIGINT) AS text_length FROM documents)
-SELECT event_id, n_facts, text_length, round(realized, 6) + 0.0 AS realized FROM labelled JOIN t ON doc_id = event_id""")
-def k21(spark, d):
-    from tidemark.plans.text_news import DOWN, UP, facts
+#: Words of the claims beside those of the documents, as this query's lexicon.
+PAIR_UP, PAIR_DOWN, PAIR_GUIDANCE = ("beat", "raised", "grew"), ("missed", "lowered", "headwinds"), "outlook"
+
+
+def _pair_sql() -> str:
+    """SQL twin of ``claims`` and of the text counters."""
+    hits = lambda words: " + ".join(f"(length(low) - length(replace(low, '{w}', ''))) // {len(w)}" for w in words)
+    return f"""t AS (SELECT o_orderkey AS event_id, o_orderkey % 97 + 1 AS a, o_orderkey % 89 + 1 AS b, text FROM orders LEFT JOIN documents ON doc_id = o_orderkey),
+u AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'EPS of $' || a || '.25 vs. consensus $' || b || '.50' WHEN 1 THEN 'Revenue beat  consensus by ' || a || '%.'
+  WHEN 2 THEN 'Revenue missed analyst estimates by ' || a || '.5% in the period' WHEN 3 THEN 'EPS was in line with consensus.'
+  WHEN 4 THEN 'We raised our full-year outlook to ' || a || ' million units and expect growth.' WHEN 5 THEN 'The company lowered its guidance amid headwinds we expect to persist.'
+  WHEN 6 THEN 'Net sales of $' || a || ' million versus expectations of $' || b || ' million' ELSE 'Revenue grew ' || a || '% year over year in 2024' END || coalesce(chr(10) || text, '') AS text FROM t),
+v AS (SELECT event_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_facts, CAST(length(text) AS BIGINT) AS text_length, lower(replace(text, chr(10), ' ')) AS low FROM u),
+w AS (SELECT *, CAST({hits(PAIR_UP)} AS BIGINT) AS positive_hits, CAST({hits(PAIR_DOWN)} AS BIGINT) AS negative_hits FROM v)"""
 
-    lex = facts(spark, d).select(F.col("doc_id").alias("event_id"), *[c.alias(n) for n, c in fam.lexicon_block(F.col("facts"), UP, DOWN, "tion").items()])
-    return labelled(spark, d).join(lex, "event_id").select("event_id", "n_facts", "text_length", "realized")
+
+@query("k21_training_pairs", f"""WITH {LABELLED_SQL}, {_pair_sql()}
+SELECT event_id, ticker, event_type, n_facts, text_length, positive_hits, negative_hits, positive_hits - negative_hits AS net_sentiment, contains(low, '{PAIR_GUIDANCE}') AS has_guidance_mention,
+  round(realized, 6) + 0.0 AS realized FROM labelled JOIN w USING (event_id)""")
+def k21(spark, d):
+    """Eight text features and the within-quarter label of every labelled event; the document of the same number, where there is one, follows the claim."""
+    from tidemark.plans.text_news import claims, facts
+
+    more = facts(spark, d).select(F.col("doc_id").alias("event_id"), F.col("facts").alias("more"))
+    told = claims(spark, d).select("event_id", F.array("claim").alias("claim")).join(more, "event_id", "left")
+    told = told.select("event_id", F.when(F.col("more").isNull(), F.col("claim")).otherwise(F.concat("claim", "more")).alias("facts"))
+    lex = fam.lexicon_block(F.col("facts"), PAIR_UP, PAIR_DOWN, PAIR_GUIDANCE)
+    return labelled(spark, d).join(told, "event_id").select("event_id", "ticker", "event_type", *[c.alias(n) for n, c in lex.items()], "realized")
 
 
 # --------------------------------------------------------------------------
