@@ -67,20 +67,21 @@ def b08(spark, d):
     return both.groupBy("stock").agg(F.sum(on[0]).alias("inclusive"), F.sum(on[1]).alias("strict"))
 
 
-@query("b09_eligible_prices", f"""WITH {BARS_SQL}, {TRADED_SQL}
-SELECT event_id, count(*) FILTER (WHERE available_at <= cutoff AND close > 1500) AS eligible,
-  count(*) FILTER (WHERE available_at <= cutoff AND value_timestamp <= cutoff AND close > 1500) AS eligible_strict
-FROM traded JOIN bars USING (stock) GROUP BY event_id""")
+@query("b09_eligible_prices", f"""WITH {BARS_SQL}, {TRADED_SQL}, stamped AS (SELECT * REPLACE (CASE WHEN stock % 3 = 0 THEN day + INTERVAL 15 HOUR ELSE available_at END AS available_at) FROM bars WHERE close > 1500)
+SELECT event_id, count(*) FILTER (WHERE available_at <= cutoff) AS eligible, count(*) FILTER (WHERE available_at <= cutoff AND value_timestamp <= cutoff) AS eligible_strict
+FROM traded LEFT JOIN stamped USING (stock) GROUP BY event_id""")
 def b09(spark, d):
+    """Bars seen by each event; strictly those whose session had ended too. A third of the stocks stamp bars before their session ends."""
     from tidemark.operators.scan import Running, running
 
-    kept = bars(spark, d).where("close > 1500").withColumn("one", F.lit(1))
-    both = jn.timeline(kept, traded(spark, d), ["stock"], F.col("available_at"), F.col("cutoff"), ["one"])
-    seen = F.when(F.col("__point").isNotNull(), 1).cast("bigint")
-    done = running(both, ["stock"], ["__t", "__tag"], [jn.Running("sum", seen, "eligible")]).where(F.col("__tag") == 1)
-    n = F.coalesce("eligible", F.lit(0))
-    # a bar is always available after the session it describes
-    return done.select("__query.event_id", n.alias("eligible"), n.alias("eligible_strict"))
+    stamped = bars(spark, d).where("close > 1500").withColumn(
+        "available_at", F.when(F.col("stock") % 3 == 0, F.col("day") + F.expr("INTERVAL 15 HOURS")).otherwise(F.col("available_at")))
+    seen = lambda at, loose: stamped.select("stock", at.alias("at"), F.lit(loose).alias("loose"), F.lit(1 - loose).alias("strict"))
+    points = seen(F.col("available_at"), 1).unionByName(seen(F.greatest("available_at", "value_timestamp"), 0))
+    both = jn.timeline(points, traded(spark, d), ["stock"], F.col("at"), F.col("cutoff"), ["loose", "strict"])
+    sums = [Running("sum", F.col(f"__point.{n}").cast("bigint"), out) for n, out in (("loose", "eligible"), ("strict", "eligible_strict"))]
+    done = running(both, ["stock"], ["__t", "__tag"], sums).where(F.col("__tag") == 1)
+    return done.select("__query.event_id", *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("eligible", "eligible_strict")])
 
 
 @query("b14_clip_to_bounds", f"WITH {FOCAL_SQL} SELECT event_id, round(greatest(-0.1, least(0.1, car1)), 6) + 0.0 AS clipped FROM focal WHERE car1 IS NOT NULL")

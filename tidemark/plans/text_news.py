@@ -293,6 +293,19 @@ def k16(spark, d):
         tx.statement_category(F.col("forward"), F.col("earnings"), F.col("quantitative")).alias("category"))
 
 
+@query("k17_claim_support", f"""WITH {CLAIM_SQL}, x AS (SELECT o_custkey AS ticker, {CONF_SQL} AS confidence, CAST({_weight_sql()} AS DOUBLE) AS relevance, t, CAST({DIR_SQL} AS INTEGER) AS direction FROM c JOIN orders ON o_orderkey = event_id)
+SELECT ticker, count(*) AS claims, round(avg(confidence), 6) + 0.0 AS mean_claim_confidence, round(avg(relevance), 6) + 0.0 AS mean_claim_relevance,
+  count(*) FILTER (WHERE t IN (4, 5)) AS forward_claims, count(*) FILTER (WHERE direction > 0) AS claims_up, count(*) FILTER (WHERE direction < 0) AS claims_down FROM x GROUP BY ticker""")
+def k17_claims(spark, d):
+    """What the claims of a disclosure say for its score: the claim half of the diagnostic summary, a ticker's orders being one disclosure."""
+    parts = claim_parts(spark, d)
+    told = parts.select("ticker", claim_confidence(parts).alias("confidence"), claim_relevance(WEIGHTS).alias("relevance"), "forward", claim_direction().alias("direction"))
+    n = lambda test: F.count(F.when(test, 1))
+    return told.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("claims"), F.avg("confidence").alias("mean_claim_confidence"), F.avg("relevance").alias("mean_claim_relevance"),
+        n(F.col("forward")).alias("forward_claims"), n(F.col("direction") > 0).alias("claims_up"), n(F.col("direction") < 0).alias("claims_down"))
+
+
 @query("h29_feature_family", "SELECT family, CAST(n AS BIGINT) AS n, k FROM (VALUES ('forward_looking', 30, (SELECT count(*) FROM events WHERE event_id % 46 < 30)), "
        "('revenue_results', 10, (SELECT count(*) FROM events WHERE event_id % 46 BETWEEN 30 AND 39)), ('other', 6, (SELECT count(*) FROM events WHERE event_id % 46 >= 40))) v(family, n, k)")
 def h29(spark, d):
