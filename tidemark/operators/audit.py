@@ -143,6 +143,11 @@ def varying(df: DataFrame, names: Sequence[str], tolerance: float = fv.NEGLIGIBL
     return [n for n in names if spread[n] is not None and spread[n] > tolerance]
 
 
+def varying_in_group(names: dict[str, str], tolerance: float = fv.NEGLIGIBLE) -> Column:
+    """Aggregate: the names (in the given order) whose column is not constant within the group."""
+    return F.array_compact(F.array(*[F.when(F.stddev_pop(c) > tolerance, F.lit(n)) for n, c in names.items()]))
+
+
 def coverage_label() -> Column:
     """Which optional families a row has, as one label."""
     parts = [("history", "has_company_earnings_history"), ("price", "has_5y_price_history"), ("reasoning", "has_reasoning")]

@@ -63,15 +63,22 @@ def b18(spark, d):
     return li.select(*kept).agg(F.lit(",".join(kept)).alias("kept"), F.count(F.lit(1)).alias("rows"))
 
 
+#: The flags as SQL names them, in the order of FLAGS.
+VARYING_FLAGS = dict(zip(FLAGS, ("f_eps", "f_price", "f_news", "f_reason", "f_hist")))
+VARYING_SQL = ", ".join(f"CASE WHEN stddev_pop({c}) > 1e-12 THEN '{n}' END" for n, c in VARYING_FLAGS.items())
+
+
 @query("d16_training_data_report", f"""WITH {FLAG_SQL} SELECT coalesce(quarter, 'all') AS quarter, count(*) AS rows,
   {', '.join(f'round(avg({c}), 6) + 0.0 AS {n}' for n, c in (('eps', 'f_eps'), ('price', 'f_price'), ('company_news', 'f_news'), ('reasoning', 'f_reason'), ('history', 'f_hist')))},
-  round(min(realized), 6) + 0.0 AS target_min, round(max(realized), 6) + 0.0 AS target_max, round(CASE WHEN count(*) >= 2 THEN stddev_pop(realized) END, 6) + 0.0 AS target_std
+  round(min(realized), 6) + 0.0 AS target_min, round(max(realized), 6) + 0.0 AS target_max, round(CASE WHEN count(*) >= 2 THEN stddev_pop(realized) END, 6) + 0.0 AS target_std,
+  concat_ws(',', {VARYING_SQL}) AS varying, {' + '.join(f'CAST(stddev_pop({c}) > 1e-12 AS BIGINT)' for c in VARYING_FLAGS.values())} AS n_varying
 FROM fl GROUP BY GROUPING SETS ((quarter), ())""")
 def d16(spark, d):
     n = F.count(F.lit(1))
     aggs = [n.alias("rows"), *au.coverage(FLAGS), F.min("realized").alias("target_min"), F.max("realized").alias("target_max"),
-            F.when(n >= 2, F.stddev_pop("realized")).alias("target_std")]
-    return flagged(spark, d).rollup("quarter").agg(*aggs).withColumn("quarter", F.coalesce("quarter", F.lit("all")))
+            F.when(n >= 2, F.stddev_pop("realized")).alias("target_std"), au.varying_in_group(FLAGS).alias("varying")]
+    report = flagged(spark, d).rollup("quarter").agg(*aggs).withColumn("quarter", F.coalesce("quarter", F.lit("all")))
+    return report.withColumns({"n_varying": F.size("varying").cast("bigint"), "varying": F.array_join("varying", ",")})
 
 
 @query("d17_coverage_gate", f"""WITH {FLAG_SQL}, c AS (SELECT avg(f_eps) AS eps, avg(f_news) AS company_news, avg(f_reason) AS reasoning, avg(f_price) AS price FROM fl)

@@ -33,7 +33,7 @@ def archive_lines(spark, d) -> DataFrame:
         k.cast("string").alias("event_id"), "event_type", F.date_format("cutoff", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_datetime"),
         F.when(k % 10 == 0, F.col("quarter")).alias("quarter"),
         F.when(k % 3 == 0, F.array(asset(t), asset(other))).otherwise(F.array(asset(t))).alias("focal_assets"),
-        F.struct(F.array(item("note", F.array(F.lit("n"))), item("facts", facts)).alias("items")).alias("disclosure"),
+        F.struct(F.array(item("note", F.array(F.lit("n"))), item("facts", facts), item("facts", F.array(F.lit("later")))).alias("items")).alias("disclosure"),
         F.map_from_arrays(F.array(t, other), F.array(leg(F.col("car1")), leg(F.col("car1") / 3))).alias("event_returns"),
         F.struct(F.struct(F.col("earnings_surprise").alias("surprise"), F.when(k % 7 == 0, "missing_eps").otherwise("ok").alias("surprise_status"))
                  .alias("earnings_surprise")).alias("metrics"))
@@ -68,9 +68,10 @@ def b01(spark, d):
     return archive_events(spark, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("b02_first_facts_item", f"WITH {ARCHIVE_SQL} SELECT event_id, ticker, facts FROM arc")
+@query("b02_first_facts_item", f"WITH {ARCHIVE_SQL} SELECT event_id, ticker, facts, array_to_string(list_transform(range(1, facts + 1), lambda i: 'fact ' || i), '|') AS content FROM arc")
 def b02(spark, d):
-    return archive_events(spark, d).select("event_id", "ticker", F.size("disclosure").cast("bigint").alias("facts"))
+    """The first item of facts, between a note and a later item of facts."""
+    return archive_events(spark, d).select("event_id", "ticker", F.size("disclosure").cast("bigint").alias("facts"), F.array_join("disclosure", "|").alias("content"))
 
 
 @query("b03_outcome_by_ticker", f"WITH {ARCHIVE_SQL} SELECT event_id, ticker, {r6('car1')} FROM arc WHERE car1 IS NOT NULL")
