@@ -239,9 +239,9 @@ def a12(spark, d):
         F.when((k % 6 != 0) & (k % 2 == 0), F.concat(F.lit("t"), F.col("ticker").cast("string"))).alias("ticker"),
         F.when((k % 6 != 0) & (k % 2 == 1), F.concat(F.lit("t"), F.col("ticker").cast("string"))).alias("identifier_value"),
         F.when(k % 5 != 0, F.col("score")).alias("predicted_percentile"), (F.col("score") / 2).alias("realized_percentile"), "car1")
-    path = scratch_path(spark, "live-scores-csv")
+    path = scratch_path(spark, "live-scores")
     rows.write.option("header", True).csv(path)
-    return vn.read_live_scores(spark, path)
+    return vn.read_live_scores(spark, path, "csv")
 
 
 @query("a13_evidence_bundles", f"""WITH {FOCAL_SQL} SELECT CAST(event_id AS VARCHAR) AS event_key, CAST(ticker AS VARCHAR) AS ticker_key, {r6('score')} FROM focal""")

@@ -178,10 +178,12 @@ def disclosure_facts(payload: Column) -> Column:
     return F.coalesce(*[F.when(F.size(s) > 0, s) for s in shapes], F.array().cast("array<string>"))
 
 
-def read_live_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Live evaluation rows from CSV or JSON; rows lacking a prediction or an
+def read_live_scores(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
+    """Live evaluation rows from CSV or JSON lines (``form``); rows lacking a prediction or an
     outcome are dropped, an unknown ticker becomes ``?``."""
-    raw = spark.read.option("header", True).csv(path) if "csv" in path.rsplit("/", 1)[-1] else spark.read.option("primitivesAsString", True).json(path)
+    if form not in ("csv", "json"):
+        raise ValueError(f"live scores are csv or json, not {form}")
+    raw = spark.read.option("header", True).csv(path) if form == "csv" else spark.read.option("primitivesAsString", True).json(path)
 
     def column(name: str) -> Column:
         return F.nullif(F.col(name), F.lit("")) if name in raw.columns else F.lit(None).cast("string")
