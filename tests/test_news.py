@@ -98,3 +98,22 @@ def test_same_address_with_other_query_is_one_article(spark):
     a = (1, "A", START + timedelta(days=1), 1, START, "One title here", "", "https://x/a?1", "s", None, ["A"], None, False)
     b = (1, "A", START + timedelta(days=1), 2, START + timedelta(hours=20), "Something else entirely", "", "https://x/a?2", "s", None, ["A"], None, False)
     assert nw.dedup_ranking(spark.createDataFrame([a, b], SCHEMA), "event_id", "cutoff", "entity").count() == 1
+
+
+def test_events_that_see_the_same_articles_share_one_scan(spark):
+    from tidemark.operators import joins as jn
+
+    rng = random.Random(8)
+    articles = [(a, START + timedelta(hours=rng.randrange(200)), rng.choice("AB")) for a in range(25)]
+    articles = [(a, at, at + timedelta(hours=a % 3), e) for a, at, e in articles]
+    events = [(i, START + timedelta(minutes=rng.randrange(24 * 60 * 18)), rng.choice("AB")) for i in range(400)]
+    events += [(i, at + timedelta(hours=rng.randrange(30)), e) for i, at, e in events[:5]] + [(None, *events[7][1:]), (500, START + timedelta(days=8), None)]
+    # on the very edge of a window
+    events += [(600 + i, articles[i][1] + timedelta(days=7), articles[i][3]) for i in range(5)] + [(700 + i, articles[i][2], articles[i][3]) for i in range(5)]
+    queries = spark.createDataFrame(events, "event_id long, cutoff timestamp, entity string")
+    records = spark.createDataFrame(articles, "article_id long, published_at timestamp, available_at timestamp, entity string")
+    hits = lambda q: jn.interval_join(q, records, "entity", "cutoff", "published_at", "available_at", 7).groupBy("event_id").agg(F.sort_array(F.collect_list("article_id")).alias("seen"))
+    asked, owners = jn.shared_windows(queries, records, "entity", "event_id", "cutoff", "published_at", "available_at", 7)
+    rows = lambda df: {(r["event_id"], tuple(r["seen"])) for r in df.collect()}
+    assert rows(jn.of_owner(owners, hits(asked), "event_id")) == rows(hits(queries))
+    assert asked.count() <= 2 * len(articles) + 11
