@@ -117,3 +117,19 @@ def test_events_that_see_the_same_articles_share_one_scan(spark):
     rows = lambda df: {(r["event_id"], tuple(r["seen"])) for r in df.collect()}
     assert rows(jn.of_owner(owners, hits(asked), "event_id")) == rows(hits(queries))
     assert asked.count() <= 2 * len(articles) + 11
+
+
+def test_news_context_ranks_once_for_events_that_follow_the_same(spark, df, monkeypatch):
+    from tidemark.plans import assembly
+
+    sizes, rank = [], nw.rank_news
+    monkeypatch.setattr(nw, "rank_news", lambda hits, *a, **k: (sizes.append(hits.count()), rank(hits, *a, **k))[1])
+    followed = spark.createDataFrame([(e, START + timedelta(days=9), "E0", r) for e in range(5) for r in assembly.RELATIONS], "event_id long, cutoff timestamp, entity string, relation string")
+    news = df.where("event_id = 0").withColumns({"available_at": F.col("published_at"), "sentiment": F.lit(0.5)}).drop("event_id", "cutoff", "entity")
+    block, signals, leaks = assembly.news_context(followed, news)
+    assert sizes == [40]
+    rows = {tuple(r)[1:] for r in block.collect()}
+    assert len(rows) == 1 and block.count() == 5
+    counts = {(r["company_articles"], r["peer_articles"], r["sector_articles"]) for r in signals.collect()}
+    assert len(counts) == 1 and len(set(counts.pop())) == 1
+    assert {r["leakage_violations"] for r in leaks.collect()} == {0}
