@@ -259,6 +259,29 @@ def test_the_open_path_goes_on_over_batches():
         assert len(found) == len(set(f[:2] for f in found)) and {f[:2]: f[2] for f in found} == dict(want)
 
 
+def test_ranges_cut_anywhere_add_up():
+    """A prefix too large for a task goes on in the next range; its parts add up though each is rare."""
+    rng = np.random.default_rng(4)
+    rows = Counter(("en" if rng.random() < 0.6 else "de", "\x00".join(rng.choice(list("aaab"), 1 + rng.integers(5)))) for _ in range(3000))
+    merged = sorted(rows.items())
+    want = Counter()
+    for (lang, s), n in merged:
+        words = s.split("\x00")
+        for d in range(2, len(words) + 1):
+            want[lang, "\x00".join(words[:d])] += n
+    for size in (1, 3, 10, 10_000):
+        got, given = Counter(), []
+        for i in range(0, len(merged), size):
+            some = merged[i:i + size]
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some]), pa.array([k[1] for k, _ in some]), pa.array([n for _, n in some])], ["lang", "suffix", "n"])
+            parts = [r for b in collocations.subtrees(5, 40)(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+            assert len(parts) == len({(r["lang"], r["phrase"]) for r in parts}) and sum(r["f"] < 40 for r in parts) <= 8
+            given += parts
+        for r in given:
+            got[r["lang"], r["phrase"]] += r["f"]
+        assert {k: f for k, f in got.items() if f >= 40} == {k: f for k, f in want.items() if f >= 40}
+
+
 def test_long_texts_are_cut_only_between_words():
     text = "ab cd. ef gh! " * 50
     batch = pa.RecordBatch.from_arrays([pa.array([text, None, "x" * 500, ""])], ["text"])

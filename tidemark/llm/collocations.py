@@ -1,13 +1,12 @@
-"""Phrase collocations from vertically partitioned suffix trees.
+"""Phrase collocations from range-partitioned suffix trees.
 
 Every word of a piece starts a suffix, cut after five words: the paths of a
-depth-truncated suffix tree. The tree is never built whole. Its paths are
-grouped by their prefixes: a prefix that starts few suffixes is a subtree of its
-own, one that starts more than the budget is extended by another word until its
-parts fit. Prefixes are dealt to tasks, each task sorts its suffixes (Spark
-spills where it must) and walks its subtrees with only the open path in memory.
-A node's count is the total of the leaves below it. The counts of prefixes that
-were extended come from the grouping itself.
+depth-truncated suffix tree. The tree is never built whole. Its sorted paths are
+cut into ranges of near equal size, however many of them one prefix starts: each
+task sorts its range (Spark spills where it must) and walks it with only the open
+path in memory. A node's count is the total of the leaves below it. Only the nodes
+on the first and the last path of a range can go on in its neighbours, so a task
+gives at most ten counts that are parts, and these are added up.
 
 Exact pruning keeps the tree small: a phrase is never more frequent than any
 of its words or pairs of neighbours, so suffixes end before the first pair that
@@ -41,11 +40,11 @@ SEP = "\x00"
 FILTER_BLOCKS = 1 << 20
 #: Occurrences of a word beyond which the words behind it are counted in several tasks; at most MOST_SPLIT words are that frequent.
 WORD_SHARE, MOST_SPLIT = 1_000_000, 1 << 16
-#: Suffixes that a task should hold, and the most tasks; a prefix is extended beyond a quarter of a task's share.
+#: Suffixes that a task should hold, and the most tasks.
 TASK_SUFFIXES, MOST_TASKS = 1_000_000, 1 << 16
 #: Parts of phrases with more than this share of all words are broadcast: fewer than so many of each length.
 HOT_PARTS = 1024
-#: Prefixes with fewer suffixes are never extended.
+#: Fewer suffixes are not worth a task of their own.
 LEAST_BUDGET = 1_000
 
 
@@ -186,7 +185,7 @@ def mark_pairs(least: int):
 
 
 def suffixes(words_sent, pairs_sent, depth: int):
-    """Rows (lang, suffix, words, n): distinct suffixes of frequent pairs in a group of texts."""
+    """Rows (lang, suffix, n): distinct suffixes of frequent pairs in a group of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, paired = words_sent.value, pairs_sent.value
@@ -216,7 +215,7 @@ def suffixes(words_sent, pairs_sent, depth: int):
                 more = words.take(pa.array(path[d] - 1, mask=path[d] == 0))
                 text = pc.binary_join_element_wise(text, more, pa.scalar(SEP, pa.large_string()), null_handling="skip")
             yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(lang[at])), text.cast(pa.string()), pa.array((path > 0).sum(axis=0).astype(np.int32)), pa.array(many)], ["lang", "suffix", "words", "n"])
+                [langs.take(pa.array(lang[at])), text.cast(pa.string()), pa.array(many)], ["lang", "suffix", "n"])
 
     return run
 
@@ -226,31 +225,15 @@ def prefix(column: str, words: Column | int) -> Column:
     return F.call_function("substring_index", F.col(column), F.lit(SEP), F.lit(words))
 
 
-def grown_prefixes(table: DataFrame, depth: int, budget: int) -> list[DataFrame]:
-    """For each length the prefixes that start more suffixes than ``budget``, with their counts; (lang, prefix, f), written.
+class OpenPath:
+    """Walks sorted suffixes and yields the nodes it has left; holds the open path only.
 
-    Only suffixes below a prefix that was too large itself are counted again. At
-    most rows / budget prefixes of a length can be too large.
+    Nodes on the first path of the walk, and those that are open at its end, may be parts and come whatever their count.
     """
-    out: list[DataFrame] = []
-    for d in range(1, depth):
-        rows = table.where(F.col("words") >= d)
-        if out:
-            rows = rows.withColumn("head", prefix("suffix", d - 1)).join(F.broadcast(out[-1].select("lang", F.col("prefix").alias("head"))), ["lang", "head"], "left_semi")
-        large = rows.groupBy("lang", prefix("suffix", d).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("f")).where(F.col("rows") > budget)
-        large = written(large.select("lang", "prefix", "f"), f"prefixes{d}")
-        if large.isEmpty():
-            break
-        out.append(large)
-    return out
-
-
-class OpenPath:
-    """Walks sorted suffixes and yields the nodes it has left; holds the open path only."""
 
     def __init__(self, depth: int, least: int):
         self.depth, self.least = depth, least
-        self.path: list = []  # (words up to here, count) of the open nodes, shallowest first
+        self.path: list = []  # (words up to here, count, whether it is on the first path) of the open nodes, shallowest first
         self.key: tuple = ()
 
     def walk(self, lang: pa.Array, suffix: pa.Array, own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -262,6 +245,7 @@ class OpenPath:
         same = np.zeros(rows, bool)
         spoken = lang.dictionary_encode().indices.to_numpy()
         same[1:] = spoken[1:] == spoken[:-1]
+        first_walk = not self.key
         opened = self.key and self.key[0] == lang[0].as_py()
         kept: tuple = ([], [], [])
         words0 = split[0].as_py() if rows else []
@@ -279,14 +263,16 @@ class OpenPath:
             total, begin = total[has[starts]], starts[has[starts]]
             assert len(begin) == len(heads)
             carried = self.path[d] if d < len(self.path) else None
+            edge = (begin == 0) & first_walk
             if carried and opened:
                 total[0] += carried[1]
+                edge[0] = carried[2]
             elif carried:
                 self.leave(kept, d, *carried)
             if len(total) and has[rows - 1] and len(tail) > d:
-                path.append(((lang[rows - 1].as_py(), SEP.join(tail[:d + 1]), int(own[rows - 1])), int(total[-1])))
-                total, begin = total[:-1], begin[:-1]
-            use = (total >= self.least) & (own[begin] <= d + 1) & (d > 0)
+                path.append(((lang[rows - 1].as_py(), SEP.join(tail[:d + 1]), int(own[rows - 1])), int(total[-1]), bool(edge[-1])))
+                total, begin, edge = total[:-1], begin[:-1], edge[:-1]
+            use = ((total >= self.least) | edge) & (own[begin] <= d + 1) & (d > 0)
             if use.any():
                 at_rows = begin[use]
                 kept[0].extend(lang.take(pa.array(at_rows)).to_pylist())
@@ -295,8 +281,8 @@ class OpenPath:
         self.path, self.key = path, (lang[rows - 1].as_py(), *tail)
         return self.nodes(kept)
 
-    def leave(self, kept: tuple, d: int, node: tuple, total: int) -> None:
-        if d > 0 and total >= self.least and node[2] <= d + 1:
+    def leave(self, kept: tuple, d: int, node: tuple, total: int, edge: bool) -> None:
+        if d > 0 and (edge or total >= self.least) and node[2] <= d + 1:
             for column, value in zip(kept, (node[0], node[1], total)):
                 column.append(value)
 
@@ -305,19 +291,19 @@ class OpenPath:
 
     def close(self) -> pa.RecordBatch:
         kept: tuple = ([], [], [])
-        for d, (node, total) in enumerate(self.path):
-            self.leave(kept, d, node, total)
+        for d, (node, total, _) in enumerate(self.path):
+            self.leave(kept, d, node, total, True)
         return self.nodes(kept)
 
 
 def subtrees(depth: int, least: int):
-    """Rows (lang, phrase, f): nodes of two words or more of the subtrees of sorted (lang, suffix, own, n)."""
+    """Rows (lang, phrase, f): nodes of two words or more of the subtrees of sorted (lang, suffix, n); those at the ends may be parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = OpenPath(depth, least)
         for batch in batches:
             if batch.num_rows:
-                yield path.walk(batch.column("lang"), batch.column("suffix"), batch.column("own").to_numpy(), batch.column("n").to_numpy())
+                yield path.walk(batch.column("lang"), batch.column("suffix"), np.ones(batch.num_rows, np.int64), batch.column("n").to_numpy())
         yield path.close()
 
     return run
@@ -353,27 +339,14 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         blocks = blocks.repartition("lang", "word", "part").sortWithinPartitions("lang", "word", "part")
         marks = written(blocks.mapInArrow(mark_pairs(least), "block long, bits long"), "pairs")  # its shuffle files go before the suffixes come
         pairs_sent = spark.sparkContext.broadcast(filled(marks))
-        table = written(texts.mapInArrow(suffixes(words_sent, pairs_sent, depth), "lang string, suffix string, words int, n long"), "suffixes")
+        table = written(texts.mapInArrow(suffixes(words_sent, pairs_sent, depth), "lang string, suffix string, n long"), "suffixes")
     rows = table.count()
-    tasks = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_SUFFIXES)))
-    budget = max(LEAST_BUDGET, rows // tasks // 4)
-    large = grown_prefixes(table, depth, budget)
-    # the shortest prefix that was not too large; a suffix all of whose prefixes were is counted already
-    own, dealt = F.lit(1), table
-    for d, each in enumerate(large, 1):
-        known = F.broadcast(each.select("lang", F.col("prefix").alias(f"p{d}"), F.lit(True).alias(f"large{d}")))
-        dealt = dealt.withColumn(f"p{d}", prefix("suffix", d)).join(known, ["lang", f"p{d}"], "left")
-    for d in range(len(large), 0, -1):
-        own = F.when(F.coalesce(f"large{d}", F.lit(False)), F.lit(d + 1) if d == len(large) else own_next).otherwise(F.lit(d))  # noqa: F821
-        own_next = own
-    dealt = dealt.select("lang", "suffix", "words", "n", own.alias("own")).where(F.col("own") <= F.col("words"))
-    dealt = dealt.repartition(tasks, "lang", prefix("suffix", F.col("own"))).sortWithinPartitions("lang", "suffix")
+    tasks = max(-(-rows // TASK_SUFFIXES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // LEAST_BUDGET))
+    dealt = table.repartitionByRange(max(1, min(MOST_TASKS, tasks)), "lang", "suffix").sortWithinPartitions("lang", "suffix")
     with batch_rows(spark, 10_000):
-        nodes = written(dealt.select("lang", "suffix", "own", "n").mapInArrow(subtrees(depth, least), "lang string, phrase string, f long"), "nodes")
-    trunk = [each.select("lang", F.col("prefix").alias("phrase"), "f").where(F.col("f") >= least) for each in large[1:]]
-    out = single
-    for part in [nodes, *trunk]:
-        out = out.unionByName(part)
+        nodes = written(dealt.mapInArrow(subtrees(depth, least), "lang string, phrase string, f long"), "nodes")
+    nodes = nodes.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    out = single.unionByName(nodes)
     for sent in (words_sent, split_sent, pairs_sent):
         sent.unpersist()
     return out
