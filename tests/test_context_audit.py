@@ -66,3 +66,19 @@ def test_leaked_rows_are_refused(spark):
     assert leaks == {1: 0, 2: 1}
     rows = au.leakage_violations(au.context_audit(events, {"earnings": seen})).selectExpr("event_id", "1L as ticker", "'2024Q2' as quarter", "0.5D as target_percentile", "leakage_violations", "0D as x")
     assert au.row_problems(rows, ["x"]).first()["leakage"] == 1
+
+
+def test_records_judged_in_place_count_like_joined_ones(spark):
+    rng = random.Random(8)
+    near = lambda: None if rng.random() < 0.1 else T0 + dt.timedelta(minutes=rng.randrange(-5, 5))
+    cutoffs = {i: None if i == 3 else T0 + dt.timedelta(minutes=rng.randrange(-3, 3)) for i in range(9)}
+    seen = [(i % 9, [(near(), near()) for _ in range(rng.randrange(4))] or None, [(near(), near())]) for i in range(40)]
+    item = "array<struct<available_at: timestamp, value_timestamp: timestamp>>"
+    events = spark.createDataFrame(list(cutoffs.items()), "event_id long, cutoff timestamp")
+    rows = spark.createDataFrame([(e, cutoffs[e], a, b) for e, a, b in seen], f"event_id long, event_cutoff timestamp, a {item}, b {item}")
+    joined = au.context_audit(events, {f: rows.selectExpr("event_id", f"inline({f})") for f in ("a", "b")})
+    got = sorted(tuple(r) for r in au.judged(rows, ["a", "b"]).select("event_id", "family", "checked", "violations").collect())
+    assert got == sorted(tuple(r) for r in joined.select("event_id", "family", "checked", "violations").collect())
+    assert got and au.judged(rows.limit(0), ["a", "b"]).count() == 0
+    one = rows.limit(1)
+    assert au.judged(one, ["a", "b"], alone=True).collect() == au.judged(one, ["a", "b"]).collect()

@@ -113,6 +113,25 @@ def context_audit(events: DataFrame, records: dict[str, DataFrame], reasoned: di
     return out.unionByName(sources)
 
 
+def judged(records: DataFrame, families: Sequence[str], alone: bool = False) -> DataFrame:
+    """What :func:`context_audit` says of records that carry the cutoff of their event: no event is joined and only counts move.
+
+    ``records`` have event_id, ``event_cutoff`` (from the audited events, each of which
+    must occur once there) and per family an array of (available_at, value_timestamp).
+    ``alone``: no event has more than one row of ``records``.
+    """
+    cutoff = F.col("event_cutoff")
+    after = lambda t: F.coalesce(t > cutoff, F.lit(True))
+    late = lambda r: after(r["available_at"]) | after(r["value_timestamp"])
+    known = lambda f: F.coalesce(F.col(f), F.array().cast(records.schema[f].dataType))
+    counts = {f"{kind}_{f}": F.size(x).cast("bigint") for f in families for kind, x in (("n", known(f)), ("v", F.filter(known(f), late)))}
+    wide = records.select("event_id", *[c.alias(n) for n, c in counts.items()])
+    if not alone:
+        wide = wide.groupBy("event_id").agg(*[F.sum(n).alias(n) for n in counts])
+    each = F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"n_{f}").alias("checked"), F.col(f"v_{f}").alias("violations")) for f in families])
+    return wide.select("event_id", F.explode(F.filter(each, lambda r: r["checked"] > 0)).alias("r")).select("event_id", "r.*")
+
+
 def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
