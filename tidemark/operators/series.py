@@ -29,9 +29,12 @@ def trailing_return(close: str, sessions: int, parts: Sequence[str], order: str)
 
 
 def volatility(step: str, sessions: int, parts: Sequence[str], order: str) -> Column:
-    """Annualised population deviation of the last ``sessions`` daily returns.
+    """Annualised population deviation of the last ``sessions`` daily returns, for short windows (Spark adds up each of its rows anew).
     Two returns exist from the third session (``position``) on."""
-    spread = F.stddev_pop(step).over(frame(parts, order, sessions))
+    return annualised(F.stddev_pop(step).over(frame(parts, order, sessions)))
+
+
+def annualised(spread: Column) -> Column:
     return F.when(F.col("position") >= 3, spread * F.sqrt(F.lit(fv.TRADING_DAYS))).otherwise(0.0)
 
 
@@ -41,12 +44,92 @@ def distance(close: str, sessions: int, high: bool, parts: Sequence[str], order:
     return F.col(close) / pick(close).over(frame(parts, order, sessions)) - 1.0
 
 
-def volume_zscore(volume: str, parts: Sequence[str], order: str) -> Column:
-    """Last known volume against the last 60 rows; needs ten known volumes."""
-    w = frame(parts, order, 60)
-    sd = F.stddev_pop(volume).over(w)
-    z = (F.last(volume, ignorenulls=True).over(w) - F.avg(volume).over(w)) / sd
-    return F.when((F.count(volume).over(w) >= 10) & (sd > fv.NEGLIGIBLE), z).otherwise(0.0)
+#: Means that differ by less, relative to their size, differ by rounding.
+SAME_MEAN = 1e-13
+
+
+def with_blocks(df: DataFrame, sessions: int, parts: Sequence[str], samples: Sequence[str] = (), close: str | None = None) -> DataFrame:
+    """Running figures within blocks of ``sessions`` consecutive positions, from the block's start up to the row (head) and
+    from the row to the block's end (tail): count, mean, variance and last known value of each of ``samples``; high, low and
+    worst fall of ``close``.
+
+    The window of any row is the tail of one block (:func:`with_starts`) plus the head of the next. A tail is a running figure in
+    descending order: a frame with an open end, like a sliding one, is added up anew by Spark for every row.
+    """
+    block = f"__b{sessions}"
+    df = df.withColumn(block, F.floor((F.col("position") - 1) / F.lit(sessions)))
+    for side, by, latest in (("head", F.col("position").asc(), F.last), ("tail", F.col("position").desc(), F.first)):
+        upto = Window.partitionBy(*parts, block).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        name = f"{block}_{side}_"
+        told = {f"{name}{f}_{c}": x.over(upto) for c in samples for f, x in (
+            ("n", F.count(c)), ("mean", F.avg(c)), ("var", F.var_pop(c)), ("last", latest(c, ignorenulls=True)))}
+        if close:
+            told |= {f"{name}high": F.max(close).over(upto), f"{name}low": F.min(close).over(upto)}
+        df = df.withColumns(told)
+        if close:
+            x = F.col(close)
+            fall = x / F.col(f"{name}high") if side == "head" else F.col(f"{name}low") / x
+            df = df.withColumn(f"{name}fall", F.min(fall - 1.0).over(upto))
+    return df
+
+
+def with_starts(df: DataFrame, parts: Sequence[str], order: str) -> DataFrame:
+    """The tails of :func:`with_blocks` where each row's window starts, in place of its own; NULL where the head is the whole window."""
+    whole, found = Window.partitionBy(*parts).orderBy(order), {}
+    tails = [c for c in df.columns if c.startswith("__b") and "_tail_" in c]
+    for c in tails:
+        sessions = int(c.split("_")[2][1:])
+        aligned = F.col("position") % F.lit(sessions) == 0
+        found[c.replace("_tail_", "_start_", 1)] = F.when(~aligned, F.lag(c, sessions - 1).over(whole))
+    return df.withColumns(found).drop(*tails)
+
+
+class Rows:
+    """The last ``sessions`` rows, from the columns of :func:`with_starts`; a window not yet full is the head of the first block."""
+
+    def __init__(self, sessions: int) -> None:
+        self.start = lambda c: F.col(f"__b{sessions}_start_{c}")
+        self.head = lambda c: F.col(f"__b{sessions}_head_{c}")
+
+    def count(self, c: str) -> Column:
+        return self.head(f"n_{c}") + F.coalesce(self.start(f"n_{c}"), F.lit(0))
+
+    def last(self, c: str) -> Column:
+        return F.coalesce(self.head(f"last_{c}"), self.start(f"last_{c}"))
+
+    def apart(self, c: str) -> Column:
+        """Mean of the older part less that of the newer; NULL unless both have values."""
+        here = self.head(f"mean_{c}")
+        gap = self.start(f"mean_{c}") - here
+        return F.when(F.abs(gap) <= F.abs(here) * SAME_MEAN, F.lit(0.0)).otherwise(gap)
+
+    def mean(self, c: str) -> Column:
+        merged = self.head(f"mean_{c}") + self.apart(c) * self.start(f"n_{c}") / self.count(c)
+        return F.when(self.apart(c).isNotNull(), merged).otherwise(F.coalesce(self.head(f"mean_{c}"), self.start(f"mean_{c}")))
+
+    def deviation(self, c: str) -> Column:
+        """Population deviation: both parts' own spread and that between their means."""
+        older, newer = self.start(f"n_{c}") / self.count(c), self.head(f"n_{c}") / self.count(c)
+        merged = older * self.start(f"var_{c}") + newer * self.head(f"var_{c}") + older * newer * self.apart(c) * self.apart(c)
+        return F.sqrt(F.when(self.apart(c).isNotNull(), merged).otherwise(F.coalesce(self.head(f"var_{c}"), self.start(f"var_{c}"))))
+
+    def high(self) -> Column:
+        return F.greatest(self.head("high"), self.start("high"))
+
+    def low(self) -> Column:
+        return F.least(self.head("low"), self.start("low"))
+
+    def fall(self) -> Column:
+        """Worst fall from a running peak, at most 0."""
+        return F.least(F.lit(0.0), self.head("fall"), self.start("fall"), self.head("low") / self.start("high") - 1.0)
+
+
+def volume_zscore(volume: str) -> Column:
+    """Last known volume against the last 60 rows (:class:`Rows`); needs ten known volumes."""
+    rows = Rows(60)
+    sd = rows.deviation(volume)
+    z = (rows.last(volume) - rows.mean(volume)) / sd
+    return F.when((rows.count(volume) >= 10) & (sd > fv.NEGLIGIBLE), z).otherwise(0.0)
 
 
 def with_drawdown(df: DataFrame, close: str, sessions: int, parts: Sequence[str], order: str, out: str,
@@ -54,41 +137,20 @@ def with_drawdown(df: DataFrame, close: str, sessions: int, parts: Sequence[str]
     """Worst fall from a running peak inside the last ``sessions`` rows, and
     optionally the distance of the close from the window's high and low.
 
-    The window of any row is the tail of one block plus the head of the next,
-    where blocks hold ``sessions`` consecutive positions.  Heads and tails are
-    running minima/maxima within a block, so the cost per row is constant and
-    no per-row array of prices is built.
+    No per-row array of prices is built and the cost per row is constant.
     """
-    x = F.col(close)
-    df = df.withColumn("__block", F.floor((F.col("position") - 1) / F.lit(sessions)))
-    head = Window.partitionBy(*parts, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy(*parts, "__block").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumns({
-        "__head_peak": F.max(x).over(head), "__head_low": F.min(x).over(head),
-        "__tail_peak": F.max(x).over(tail), "__tail_low": F.min(x).over(tail),
-    })
-    df = df.withColumns({
-        "__head_fall": F.min(x / F.col("__head_peak") - 1.0).over(head),
-        "__tail_fall": F.min(F.col("__tail_low") / x - 1.0).over(tail),
-    })
-    # rows before the window start belong to no window: look back sessions - 1
-    whole = Window.partitionBy(*parts).orderBy(order)
-    aligned = (F.col("position") % F.lit(sessions)) == 0
-    start_peak = F.lag("__tail_peak", sessions - 1).over(whole)
-    start_fall = F.lag("__tail_fall", sessions - 1).over(whole)
-    # a window not yet full starts at position 1, i.e. in block 0
-    across = F.least(F.col("__head_fall"), start_fall, F.col("__head_low") / start_peak - 1.0)
-    fall = F.when(aligned | start_peak.isNull(), F.col("__head_fall")).otherwise(across)
-    added = {out: F.least(F.lit(0.0), fall)}
-    alone = aligned | start_peak.isNull()
+    df = with_starts(with_blocks(df, sessions, parts, close=close), parts, order)
+    rows, x = Rows(sessions), F.col(close)
+    added = {out: rows.fall()}
     if from_high:
-        high = F.when(alone, F.col("__head_peak")).otherwise(F.greatest("__head_peak", start_peak))
-        added[from_high] = x / high - 1.0
+        added[from_high] = x / rows.high() - 1.0
     if from_low:
-        low = F.when(alone, F.col("__head_low")).otherwise(F.least(F.col("__head_low"), F.lag("__tail_low", sessions - 1).over(whole)))
-        added[from_low] = x / low - 1.0
-    return df.withColumns(added).drop(
-        "__block", "__head_peak", "__head_low", "__tail_peak", "__tail_low", "__head_fall", "__tail_fall")
+        added[from_low] = x / rows.low() - 1.0
+    return without_blocks(df.withColumns(added))
+
+
+def without_blocks(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("__b")])
 
 
 def price_features(bars: DataFrame, keys: Sequence[str], order: str = "value_timestamp", close: str = "close",
@@ -99,18 +161,25 @@ def price_features(bars: DataFrame, keys: Sequence[str], order: str = "value_tim
 
     def build(df: DataFrame, parts: list[str]) -> DataFrame:
         df = df.withColumn("__step", F.col(close) / F.lag(close).over(Window.partitionBy(*parts).orderBy(order)) - 1.0)
+        # a sliding frame copies each row, so it comes while rows are narrow
         df = df.withColumns({
-            **{name: trailing_return(close, k, parts, order) for k, name in returns},
             "realized_volatility_20d": volatility("__step", 20, parts, order),
-            "realized_volatility_60d": volatility("__step", 60, parts, order),
-            "realized_volatility_252d": volatility("__step", 252, parts, order),
             "distance_from_20d_high": distance(close, 20, True, parts, order),
             "distance_from_20d_low": distance(close, 20, False, parts, order),
-            "volume_zscore": volume_zscore(volume, parts, order),
-            "has_5y_price_history": (F.col("position") >= fv.FIVE_YEAR_SESSIONS).cast("double"),
         })
-        df = with_drawdown(df, close, 60, parts, order, "max_drawdown_60d")
-        return with_drawdown(df, close, 252, parts, order, "max_drawdown_252d", "distance_from_52w_high", "distance_from_52w_low")
+        df = with_blocks(with_blocks(df, 60, parts, ["__step", volume], close), 252, parts, ["__step"], close)
+        df, quarter, year, x = with_starts(df, parts, order), Rows(60), Rows(252), F.col(close)
+        df = df.withColumns({name: trailing_return(close, k, parts, order) for k, name in returns})
+        return without_blocks(df.withColumns({
+            "has_5y_price_history": (F.col("position") >= fv.FIVE_YEAR_SESSIONS).cast("double"),
+            "realized_volatility_60d": annualised(quarter.deviation("__step")),
+            "realized_volatility_252d": annualised(year.deviation("__step")),
+            "volume_zscore": volume_zscore(volume),
+            "max_drawdown_60d": quarter.fall(),
+            "max_drawdown_252d": year.fall(),
+            "distance_from_52w_high": x / year.high() - 1.0,
+            "distance_from_52w_low": x / year.low() - 1.0,
+        }))
 
     positive = bars.where(F.col(close) > 0)
     return rolling(positive, keys, order, halo, build, biggest).drop("__step")
