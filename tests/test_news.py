@@ -133,3 +133,23 @@ def test_news_context_ranks_once_for_events_that_follow_the_same(spark, df, monk
     counts = {(r["company_articles"], r["peer_articles"], r["sector_articles"]) for r in signals.collect()}
     assert len(counts) == 1 and len(set(counts.pop())) == 1
     assert {r["leakage_violations"] for r in leaks.collect()} == {0}
+
+
+def test_news_context_carries_no_text_to_the_events(spark, df, monkeypatch):
+    from tidemark.operators import reasoning as rs
+    from tidemark.plans import assembly
+
+    seen, rank = [], nw.rank_news
+    monkeypatch.setattr(nw, "rank_news", lambda hits, *a, **k: (seen.append(hits.columns), rank(hits, *a, **k))[1])
+    followed = spark.createDataFrame([(1, START + timedelta(days=9), "E0", "company")], "event_id long, cutoff timestamp, entity string, relation string")
+    text = F.concat(F.lit("strong growth and a lawsuit "), F.repeat(F.lit("weak "), F.col("article_id") % 2))
+    news = df.where("event_id = 0").withColumns({"available_at": F.col("published_at"), "sentiment": (F.col("article_id") % 5 - 2) / 4, "summary": text}).drop("event_id", "cutoff", "entity")
+    _, signals, _ = assembly.news_context(followed, news)
+    assert seen and "summary" not in seen[0]
+    kept = rank(nw.with_article_features(news.withColumns({"scan_key": F.lit("x"), "cutoff": F.lit(START + timedelta(days=9)), "entity": F.lit("E0")})),
+                "scan_key", "cutoff", "entity", F.array("entity"), 10)
+    scored = kept.withColumns(rs.article_scores(*map(F.col, ("headline", "summary", "sentiment", "source_quality", "relevance", "materiality"))))
+    told = rs.news_signal(scored, ["scan_key"]).first()
+    got = signals.first()
+    assert got["company_signal"] == pytest.approx(told["news_signal"]) and told["news_signal"] != 0
+    assert got["company_articles"] == told["n_articles"] and got["company_confidence"] == pytest.approx(told["confidence_sum"])
