@@ -99,6 +99,27 @@ def test_first_matching_fact_wins(spark):
     assert got["reported_eps"] == pytest.approx(1.10) and got["direction"] == "raised" and got["reported_revenue"] is None
 
 
+def test_a_claim_is_read_once_and_as_a_disclosure_of_one_fact(spark):
+    lines = ["EPS of $2.20 vs. consensus $2.00", "Revenue missed consensus by 8%.", "EPS and revenue matched estimates", "EPS of $1,250.5 and $2 expected", "sales of 3 million versus expectations of nothing",
+             "We raised guidance, EPS of 5 compared with 4.5 estimated", "vs. consensus EPS 2", "EPS in 2024 vs 2023 consensus", "nothing", "", None]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumns(tx.line_labels(F.col("line")))
+    df = df.withColumn("pair", tx.labelled_pair(F.col("line"), F.col("on_eps"), F.col("on_revenue"))).withColumn("guided", tx.result_guidance(F.col("line")))
+    both = df.select("line", tx.line_results(F.col("pair"), F.col("on_eps"), F.col("on_revenue"), F.col("guided")).alias("a"), tx.disclosure_results(F.array("line")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and sum(r["a"]["reported_eps"] is not None for r in both) >= 4
+    orders = spark.createDataFrame([(1, 2)], "o_orderkey long, o_custkey long")
+    from tidemark.plans import text_news
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(text_news, "table", lambda *_: orders)
+        plan = text_news.h25(spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 8
+
+
+def test_amount_parts(spark):
+    got = one(spark, "$ 1,250.5 million, -3x 4k €7, 12.5t 1999 2,3,", tx.amounts)
+    assert got == [1250.5e6, 4000.0, 7.0, 12.5e12, 23.0]
+
+
 def test_word_counts_overlap(spark):
     df = spark.createDataFrame([(["We raised it", "weak"],)], "f array<string>")
     row = df.select(*[c.alias(n) for n, c in fam.lexicon_block(F.col("f")).items()]).first()

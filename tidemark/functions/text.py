@@ -102,13 +102,12 @@ def guidance_direction(raised: Column, lowered: Column) -> Column:
 # --------------------------------------------------------------------------
 def amounts(text: Column) -> Column:
     """Array of scaled amounts; bare years are not amounts."""
-    pattern = F.lit("(?U)" + fv.AMOUNT)
-    tokens = F.arrays_zip(
-        F.regexp_extract_all(text, pattern, 1).alias("currency"),
-        F.transform(F.regexp_extract_all(text, pattern, 2),
-                    lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")).alias("number"),
-        F.regexp_extract_all(text, pattern, 3).alias("scale"),
-    )
+    # the text is scanned once; the parts of what is found are read off the short match
+    part = lambda x, p: F.regexp_extract(x, p, 0)
+    tokens = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + fv.AMOUNT), 0), lambda x: F.struct(
+        part(x, fv.AMOUNT_CURRENCY).alias("currency"),
+        F.replace(part(x, "(?U)" + fv.AMOUNT_NUMBER), F.lit(","), F.lit("")).try_cast("double").alias("number"),
+        part(x, fv.AMOUNT_SCALE).alias("scale")))
     scales = F.create_map(*[F.lit(x) for pair in fv.AMOUNT_SCALES.items() for x in pair])
 
     def number(t: Column) -> Column:
@@ -137,9 +136,9 @@ def exact_pair(line: Column) -> Column:
     def ends(first: Column, second: Column, size: Column) -> Column:
         return F.when(size, _pair(first, second))
 
-    # the amount lists are built once each: an absent list gives NULL ends
+    # the amount lists are built once each: an absent list gives NULL ends, and without a second side there is none
     left, right = F.try_element_at(amounts(sides[0]), F.lit(-1)), F.try_element_at(amounts(F.get(sides, F.lit(1))), F.lit(1))
-    split = F.transform(F.array(_pair(left, right)), lambda p: F.when(
+    split = F.transform(F.array(F.when(line.rlike(unicode_ci(fv.VERSUS)), _pair(left, right))), lambda p: F.when(
         p["reported"].isNotNull() & p["consensus"].isNotNull(), p))[0]
     whole = F.transform(F.array(amounts(line)), lambda xs: ends(
         F.try_element_at(xs, F.lit(1)), F.try_element_at(xs, F.lit(-1)), F.size(xs) >= 2))[0]
@@ -190,6 +189,23 @@ def disclosure_results(facts: Column) -> Column:
     )
 
 
+def line_labels(line: Column) -> dict[str, Column]:
+    """Whether a line names earnings per share, revenue."""
+    return {"on_eps": line.rlike(unicode_ci(fv.EPS_LABEL)), "on_revenue": line.rlike(unicode_ci(fv.REVENUE_LABEL))}
+
+
+def labelled_pair(line: Column, on_eps: Column, on_revenue: Column) -> Column:
+    """The pair of :func:`metric_pair` for a line with either label."""
+    return F.when(on_eps | on_revenue, F.coalesce(exact_pair(line), relative_pair(line)))
+
+
+def line_results(pair: Column, on_eps: Column, on_revenue: Column, direction: Column) -> Column:
+    """The struct of :func:`disclosure_results` for a single line, from its parts."""
+    named = {"eps": on_eps, "revenue": on_revenue}
+    return F.struct(*[F.when(on, pair[side]).alias(f"{side}_{name}") for name, on in named.items() for side in ("reported", "consensus")],
+                    direction.alias("direction"))
+
+
 # --------------------------------------------------------------------------
 # news text
 # --------------------------------------------------------------------------

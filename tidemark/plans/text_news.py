@@ -204,9 +204,11 @@ def claim_parts(spark, d) -> DataFrame:
     """Claims with their flags, tone and parsed results."""
     ship_package(spark)
     c = claims(spark, d).withColumn("line", tx.squeeze(F.col("claim")))
-    flags = tx.statement_flags(F.col("line"))
-    tone = pt.direction_score()(F.array(F.when(flags["forward"], F.col("line"))))
-    return c.withColumn("tone", tone[0]).withColumns(flags).withColumn("parsed", tx.disclosure_results(F.array("line")))
+    c = c.withColumns({**tx.statement_flags(F.col("line")), **tx.line_labels(F.col("line"))})
+    # pair and flags are columns of their own, so that none is worked out once per use
+    c = c.withColumns({"pair": tx.labelled_pair(F.col("line"), F.col("on_eps"), F.col("on_revenue")), "guided": tx.result_guidance(F.col("line"))})
+    tone = pt.line_direction()(F.when(F.col("forward"), F.col("line")))
+    return c.withColumn("tone", tone).withColumn("parsed", tx.line_results(F.col("pair"), F.col("on_eps"), F.col("on_revenue"), F.col("guided")))
 
 
 CONF_SQL = "CASE t WHEN 0 THEN 0.98 WHEN 1 THEN 0.98 WHEN 2 THEN 0.98 WHEN 3 THEN 0.25 WHEN 4 THEN 0.92 WHEN 5 THEN 0.92 WHEN 6 THEN 0.98 ELSE 0.25 END::DOUBLE"
