@@ -194,6 +194,19 @@ def test_archive_drops_a_broken_file_whole(spark, tmp_path):
     assert ar.read_archive(spark, str(tmp_path / "absent")).count() == 0
 
 
+def test_archive_lines_are_parsed_once_and_stay_where_they_are(spark, tmp_path):
+    line = '{"event_id":%s,"event_type":null,"quarter":"","focal_assets":[{"identifier_type":"T","identifier_value":"A"},null,{"identifier_type":"T","identifier_value":""},{"identifier_type":"T","identifier_value":"B"}],"event_returns":{"A":{"car1":0.5}}}'
+    bare = '{"event_id":"e9","focal_assets":null}'
+    (tmp_path / "X_2025Q1.jsonl").write_text("\n".join([line % '"e1"', line % '""', line % "null", bare]) + "\n")
+    (tmp_path / "X_2025Q2.jsonl").write_text(line % '"e2"' + "\nnot json\n")
+    got = ar.read_archive(spark, str(tmp_path))
+    rows = sorted(got.select("event_id", "ticker", "event_type", "disclosure", "car1", "quarter").collect())
+    assert [tuple(r) for r in rows] == [("e1", "A", "UNKNOWN", [], 0.5, "2025Q1"), ("e1", "B", "UNKNOWN", [], None, "2025Q1")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    read = plan.split("BroadcastExchange")[0]  # the files left out are few
+    assert "from_json" not in plan and "Exchange" not in read
+
+
 def test_vendor_prices_prefer_adjusted_and_drop_bad(spark):
     p = spark.createDataFrame([("a", '[{"date":"2026-01-28T00:00:00.000Z","close":10,"adjClose":5,"volume":7},{"date":"bad","close":1}]')], "ticker string, payload string")
     row = vn.tiingo_prices(p).collect()

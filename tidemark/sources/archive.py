@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import fixed_values as fv
+from tidemark.operators.joins import broadcast_if_small
+from tidemark.session import cut_lineage
 
 ARCHIVE_SCHEMA = """
   event_id STRING, event_type STRING, event_datetime STRING, quarter STRING,
@@ -51,20 +53,18 @@ def read_archive(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> Data
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"))
         .where(F.trim("value") != "")
     )
-    parsed = lines.withColumn("r", F.from_json("value", ARCHIVE_SCHEMA, {"columnNameOfCorruptRecord": "_broken"}))
-    bad = parsed.where(F.col("r").isNull() | F.col("r._broken").isNotNull()).select("file").distinct()
-    good = parsed.join(bad, "file", "left_anti").select("r.*", "name")
-    surprise = F.col("metrics.earnings_surprise")
-    return (
-        good.where(F.coalesce("event_id", F.lit("")) != "")
-        .withColumn("asset", F.explode("focal_assets")).withColumn("ticker", F.col("asset.identifier_value")).where(F.coalesce("ticker", F.lit("")) != "")
-        .select(
-            "event_id", "ticker", F.coalesce("event_type", F.lit("UNKNOWN")).alias("event_type"), "event_datetime",
-            facts_of(F.col("disclosure.items")).alias("disclosure"),
-            F.try_element_at("event_returns", F.col("ticker"))["car1"].alias("car1"),
-            F.when(surprise["surprise_status"] == "ok", surprise["surprise"]).alias("earnings_surprise"),
-            F.coalesce(F.nullif("quarter", F.lit("")), quarter_from_name(F.col("name"))).alias("quarter"))
-    )
+    surprise = F.col("r.metrics.earnings_surprise")
+    leg = lambda a: F.struct(a["identifier_value"].alias("ticker"), F.try_element_at("r.event_returns", a["identifier_value"])["car1"].alias("car1"))
+    # every line is parsed once: a filter on what is parsed would run the parser again
+    parsed = cut_lineage(lines.withColumn("r", F.from_json("value", ARCHIVE_SCHEMA, {"columnNameOfCorruptRecord": "_broken"})).select(
+        "file", (F.col("r").isNull() | F.col("r._broken").isNotNull()).alias("broken"), "r.event_id", F.transform("r.focal_assets", leg).alias("legs"),
+        F.coalesce("r.event_type", F.lit("UNKNOWN")).alias("event_type"), "r.event_datetime", facts_of(F.col("r.disclosure.items")).alias("disclosure"),
+        F.when(surprise["surprise_status"] == "ok", surprise["surprise"]).alias("earnings_surprise"),
+        F.coalesce(F.nullif("r.quarter", F.lit("")), quarter_from_name(F.col("name"))).alias("quarter")), "archive-lines")
+    bad = broadcast_if_small(parsed.where("broken").select("file").distinct())  # the rows of a file are never brought together
+    good = parsed.join(bad, "file", "left_anti").where(F.coalesce("event_id", F.lit("")) != "")
+    return good.withColumn("leg", F.explode("legs")).where(F.coalesce("leg.ticker", F.lit("")) != "").select(
+        "event_id", "leg.ticker", "event_type", "event_datetime", "disclosure", "leg.car1", "earnings_surprise", "quarter")
 
 
 def training_schema(names: Sequence[str]) -> T.StructType:
