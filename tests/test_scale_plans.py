@@ -97,3 +97,28 @@ def test_stream_keeps_late_first_sightings(spark, tmp_path):
     live.run_to_end(live.fresh(live.read_events(spark, path, 1)), live.scoring_batch(model, {}, sink), str(tmp_path / "progress"))
     stored = [r["event_key"] for r in spark.read.parquet(sink).collect()]
     assert sorted(stored) == sorted(f"e-{h}-{j}" for h in range(12) for j in range(5))
+
+
+def test_the_calibration_check_ranks_each_column_once(spark, monkeypatch):
+    from tidemark.operators import metrics, scan
+    from tidemark.plans import evaluation
+
+    ranked = []
+    counted = lambda df, value, *a, **k: (ranked.append((value, sorted(df.columns))), scan.rank_stats(df, value, *a, **k))[1]
+    monkeypatch.setattr(evaluation, "rank_stats", counted)
+    monkeypatch.setattr(metrics, "rank_stats", counted)
+    # ties, values beyond both bounds, and unknown outcomes
+    rows = [(i, float((i * 7) % 150), ((i * 37) % 301) / 301 if i % 11 else None) for i in range(300)]
+    monkeypatch.setattr(evaluation, "labelled", lambda *_: spark.createDataFrame(rows, "event_id int, score double, realized double"))
+    got = evaluation.k11(spark, "").first()
+    assert sorted(v for v, _ in ranked) == ["cal", "realized", "score"] and not any("event_id" in c for _, c in ranked)
+    known = [(s, r) for _, s, r in rows if r is not None]
+    place = lambda v, all_: sum(x < v for x in all_) + (sum(x == v for x in all_) - 1) / 2
+    scores, actual = [s for _, s, _ in rows], [r for _, _, r in rows if r is not None]
+    cal = lambda v: max(0.01, min(0.99, (sum(x < v for x in scores) + sum(x == v for x in scores) / 2) / len(scores)))
+    cals = [cal(s) for s in scores]
+    import numpy as np
+
+    corr = lambda f: np.corrcoef([f(s) for s, _ in known], [place(r, actual) for _, r in known])[0, 1]
+    assert abs(got["raw_spearman"] - corr(lambda s: place(s, scores))) < 1e-9
+    assert abs(got["calibrated_spearman"] - corr(lambda s: place(cal(s), cals))) < 1e-9 and got["monotonic"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed_values as fv
 from tidemark.operators import metrics as m
 from tidemark.operators import ranks as rk
-from tidemark.operators.scan import Running, rank_stats, running
+from tidemark.operators.scan import Running, average_rank, largest_group, rank_stats, running
 from tidemark.plans.bindings import FOCAL_SQL, LABELLED_SQL, focal
 from tidemark.plans.catalog import query, r6
 from tidemark.session import table, with_one_row
@@ -326,11 +326,12 @@ r AS (SELECT (rank() OVER (ORDER BY score)) + (count(*) OVER (PARTITION BY score
 SELECT round(corr(rs, ra), 6) + 0.0 AS raw_spearman, round(corr(rc, ra), 6) + 0.0 AS calibrated_spearman,
   abs(corr(rs, ra) - corr(rc, ra)) < 1e-4 AS preserves_ranking, true AS monotonic FROM r""")
 def k11(spark, d):
-    scored = rank_stats(labelled(spark, d).select("event_id", "score", "realized"), "score")
+    rows = labelled(spark, d).select("score", "realized")
+    biggest = largest_group(rows, [])
+    scored = rank_stats(rows, "score", biggest=biggest)
     share = (F.col("__less") + F.col("__equal") / 2) / F.col("__n")
-    cal = scored.withColumn("cal", F.greatest(F.lit(0.01), F.least(F.lit(0.99), share))).drop("__less", "__equal", "__n")
-    raw_ranked = m.ranked_pair(cal, "score", "realized").withColumnRenamed("rank_predicted", "rank_raw")
-    both = m.ranked_pair(raw_ranked.drop("rank_actual", "__pless", "__pequal", "__pn"), "cal", "realized")
+    cal = scored.select("score", "realized", average_rank().alias("rank_raw"), F.greatest(F.lit(0.01), F.least(F.lit(0.99), share)).alias("cal"))
+    both = m.ranked_pair(cal, "cal", "realized", biggest=biggest)  # each column is ranked once
     a = F.col("rank_actual")
     raw, done = m.safe_corr(F.col("rank_raw"), a), m.safe_corr(F.col("rank_predicted"), a)
     steps = cal.groupBy("score").agg(F.min("cal").alias("lo"), F.max("cal").alias("hi"))
