@@ -55,3 +55,29 @@ def test_no_frame_is_added_up_anew_over_a_long_window(spark):
     plan = built(spark)._jdf.queryExecution().executedPlan().toString()
     assert "currentrow$(), unboundedfollowing$()" not in plan
     assert not [n for n in (59, 251) if f"RowFrame, -{n}, currentrow$()" in plan]
+
+
+def test_no_side_of_a_news_window_is_broadcast(spark, tmp_path):
+    """The queries make eight rows each, which no estimate counts: the driver would hold them all."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.joins import interval_join
+
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7200)
+    spark.range(300).select("id", at.alias("cutoff"), F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("entity")).write.parquet(f"{tmp_path}/q")
+    spark.range(200).select(F.col("id").alias("article_id"), at.alias("published_at"), (at + F.expr("INTERVAL 5 HOURS")).alias("available_at"),
+                            F.concat(F.lit("S"), (F.col("id") % 4).cast("string")).alias("entity")).write.parquet(f"{tmp_path}/r")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        hits = interval_join(spark.read.parquet(f"{tmp_path}/q"), spark.read.parquet(f"{tmp_path}/r"), "entity", "cutoff", "published_at", "available_at", 7)
+        got = sorted((r["id"], r["article_id"]) for r in hits.collect())
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+    hour = lambda n: dt.timedelta(hours=2 * n)
+    assert got == [(q, a) for q in range(300) for a in range(200)
+                   if q % 3 == a % 4 and hour(q) - dt.timedelta(days=7) <= hour(a) <= hour(q) and hour(a) + dt.timedelta(hours=5) <= hour(q)]
