@@ -82,3 +82,32 @@ def test_records_judged_in_place_count_like_joined_ones(spark):
     assert got and au.judged(rows.limit(0), ["a", "b"]).count() == 0
     one = rows.limit(1)
     assert au.judged(one, ["a", "b"], alone=True).collect() == au.judged(one, ["a", "b"]).collect()
+
+
+def test_the_audit_broadcasts_no_side_that_grows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import bindings
+
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("event_id") * 60)
+    spark.range(50).select(F.col("id").alias("event_id")).select("event_id", at.alias("cutoff")).write.parquet(f"{tmp_path}/events")
+    rows = spark.range(200).select((F.col("id") % 60).alias("event_id"), F.col("id").cast("string").alias("source_id"))
+    rows.select("event_id", "source_id", *[at.alias(n) for n in ("available_at", "value_timestamp", "published_at")]).write.parquet(f"{tmp_path}/news")
+    spark.range(40).select(F.col("id").alias("o_orderkey"), F.lit("1995-01-01").cast("timestamp_ntz").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(90).select((F.col("id") % 45).alias("l_orderkey"), (F.col("id") % 7).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        news = spark.read.parquet(f"{tmp_path}/news")
+        audit = au.context_audit(spark.read.parquet(f"{tmp_path}/events"), {"news": news}, {"reasoned_news": news.where("event_id % 2 = 0")}, cited=news)
+        found = {(r["event_id"], r["family"]): (r["checked"], r["violations"]) for r in audit.collect()}
+        trades = bindings.traded(spark, str(tmp_path))
+        traded = {(r["event_id"], r["stock"]) for r in trades.collect()}
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (audit, trades)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not any("BroadcastExchange" in p for p in plans)
+    own = {e: sum(i % 60 == e for i in range(200)) for e in range(50)}
+    assert found == {(e, "news"): (n, 0) for e, n in own.items()} | {(e, "reasoned_news"): (n, 0) for e, n in own.items() if e % 2 == 0} | {
+        (e, "reasoning_sources"): (n, 0 if e % 2 == 0 else n) for e, n in own.items()}
+    assert traded == {(e, min(i % 7 for i in (e, e + 45))) for e in range(40)}

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fv
+from tidemark.operators import joins
 from tidemark.operators.metrics import share
 from tidemark.session import with_one_row
 
@@ -100,13 +101,13 @@ def context_audit(events: DataFrame, records: dict[str, DataFrame], reasoned: di
     cutoff = F.col("__cutoff")
     late = F.exists("times", lambda t: F.coalesce(t > cutoff, F.lit(True)))
     moved = F.col("same").isNotNull() & ~F.col("same").eqNullSafe(cutoff)
-    at = events.select("event_id", F.col("cutoff").alias("__cutoff"))
+    at = joins.never_broadcast(events.select("event_id", F.col("cutoff").alias("__cutoff")))
     out = _stacked(parts).join(at, "event_id").groupBy("event_id", "family").agg(
         F.count(F.lit(1)).alias("checked"), F.count(F.when(late | moved, 1)).alias("violations"))
     if cited is None:
         return out
     known = _stacked([df.select("event_id", "source_id") for df in (reasoned or {}).values()] or [cited.select("event_id", "source_id").limit(0)])
-    known = known.where(F.col("source_id") != "").distinct().withColumn("__known", F.lit(True))
+    known = joins.never_broadcast(known.where(F.col("source_id") != "").distinct().withColumn("__known", F.lit(True)))
     used = cited.select("event_id", "source_id").dropna().distinct().join(known, ["event_id", "source_id"], "left")
     sources = used.join(at, "event_id", "left_semi").groupBy("event_id").agg(
         F.lit("reasoning_sources").alias("family"), F.count(F.lit(1)).alias("checked"), F.count(F.when(F.col("__known").isNull(), 1)).alias("violations"))

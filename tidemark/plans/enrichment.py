@@ -249,7 +249,7 @@ def stock_results(spark, d) -> DataFrame:
     """Earnings records per stock: the figures of the events trading it."""
     t = traded(spark, d).select("event_id", "stock")
     f = focal(spark, d).drop("ticker")
-    return f.join(t, "event_id").select(
+    return f.join(jn.never_broadcast(t), "event_id").select(
         F.col("stock").alias("peer_key"), F.col("cutoff").alias("value_timestamp"), *jn.EARNINGS_FIELDS,
         F.col("car1").alias("abnormal_return"), F.col("event_id").alias("record_id"))
 
