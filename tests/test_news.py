@@ -153,3 +153,45 @@ def test_news_context_carries_no_text_to_the_events(spark, df, monkeypatch):
     got = signals.first()
     assert got["company_signal"] == pytest.approx(told["news_signal"]) and told["news_signal"] != 0
     assert got["company_articles"] == told["n_articles"] and got["company_confidence"] == pytest.approx(told["confidence_sum"])
+
+
+def test_matched_letters_are_those_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    from tidemark.functions import python_text as pt
+
+    rng = random.Random(3)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("a", "b"), ("ab", "ba"), ("a" * 50, "a" * 70), ("x" * 3000, "x" * 199)]
+    for letters in ("ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz 0123456789é"):
+        for _ in range(300):
+            text = lambda most: "".join(rng.choices(letters, k=rng.randrange(most)))
+            a, b = text(250), text(230)
+            pairs += [(a, b), (a, a), (a, b[:40] + a[:60] + b[40:])]
+    for a, b in pairs:
+        want = SequenceMatcher(None, a, b)
+        assert pt.title_ratio.__wrapped__(a, b) == want.ratio()
+        if len(b) < pt.AUTOJUNK and a and b:
+            assert pt.matched(a, b) == sum(m.size for m in want.get_matching_blocks())
+
+
+def test_articles_of_one_scan_stay_together(spark):
+    """Articles that an event sees through several entities are compared with each other, in one move of the rows."""
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 3, 9)
+    rows = [(e, f"E{i % 40}", at, i, at - timedelta(minutes=i), f"same words in {e}", None, f"http://a/{e}/{i}", "s", None) for e in range(6) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id int, entity string, cutoff timestamp, article_id int, published_at timestamp, headline string, summary string, url string, source string, source_id string")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    was = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("64", "false")):
+        spark.conf.set(n, v)
+    try:
+        kept = nw.dedup_ranking(df, "event_id", "cutoff", "entity")
+        assert sorted((r["event_id"], r["article_id"]) for r in kept.collect()) == [(e, 39) for e in range(6)]
+        ready = df.withColumns({"entities": F.array("entity"), "vendor_relevance": F.lit(0.5), "materiality": F.lit(0.5), "source_quality": F.lit(0.5)})
+        plan = nw.scored_news(ready, "event_id", "cutoff", "entity", F.array("entity"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+    finally:
+        for n, v in zip(names, was):
+            spark.conf.set(n, v)
