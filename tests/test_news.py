@@ -168,11 +168,14 @@ def test_matched_letters_are_those_of_difflib():
             text = lambda most: "".join(rng.choices(letters, k=rng.randrange(most)))
             a, b = text(250), text(230)
             pairs += [(a, b), (a, a), (a, b[:40] + a[:60] + b[40:])]
+    pairs += [(a + a[:200], b + b[20:] + a[:90]) for a, b in pairs[-600:]] + [("ab" * 2000, "ba" * 2000), ("q" + "ab" * 300, "ab" * 280 + "qz")]
     for a, b in pairs:
         want = SequenceMatcher(None, a, b)
         assert pt.title_ratio.__wrapped__(a, b) == want.ratio()
+        size = sum(m.size for m in want.get_matching_blocks())
+        assert pt.matched_by_places(a, b) == size
         if len(b) < pt.AUTOJUNK and a and b:
-            assert pt.matched(a, b) == sum(m.size for m in want.get_matching_blocks())
+            assert pt.matched(a, b) == size
 
 
 def test_articles_of_one_scan_stay_together(spark):
